@@ -55,7 +55,7 @@ def lexer(token: str, skip: str) -> re.Pattern:
 
 
 OPEN = {"(": ")", "[": "]", "{": "}"}
-MARKER = re.compile(r"^(?:<{7}|>{7}|\|{7}|={7})(?: .*)?$|^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@", re.MULTILINE)
+BRACKETS = frozenset("()[]{}")
 
 
 class Parser:
@@ -90,11 +90,13 @@ class Parser:
     def brackets(self) -> dict[int, int]:
         stack, match = [], {}
         for j, k in enumerate(self.k):
-            if k in OPEN:
-                stack.append((k, j))
-            elif k in (")", "]", "}") and stack:
-                if OPEN[stack[-1][0]] == k:
-                    match[stack.pop()[1]] = j
+            if k in BRACKETS:
+                if k in OPEN:
+                    stack.append(j)
+                    stack.append(OPEN[k])
+                elif stack and stack[-1] == k:
+                    stack.pop()
+                    match[stack.pop()] = j
         return match
 
     def line(self, at: int) -> int:
@@ -193,8 +195,6 @@ class Parser:
 
     def run(self) -> list[tuple[int, str]]:
         """All errors as (line, message), the first cause first."""
-        for m in MARKER.finditer(self.src):
-            pass
         try:
             self.file()
         except Bad as e:

@@ -10,6 +10,7 @@ STRING = r'"(?:[^"\\\n]|\\.)*"'
 CHAR = r"'(?:[^'\\\n]|\\[^\n]{1,9}?)'"
 NUMBER = r"0[xX][\da-fA-F_]*\.?[\da-fA-F_]*(?:[pP][+-]?\d+)?[uUlLfFdD]*|0[bB][01_]+[uUlL]*|(?:\d[\d_']*(?:\.(?!\.)[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?[uUlLfFdDmMi]*(?!\w)"
 SKIP = r"[ \t\r\f\v\xa0﻿]+|//[^\n]*|/\*[\s\S]*?\*/"
+NAMES_ONLY = r"[A-Za-z_\u0080-￿]\w*"
 NAMES = r"[A-Za-z_$\u0080-￿][\w$]*"
 
 
@@ -175,7 +176,7 @@ JAVA_WORDS = (
 
 class Java(Typed):
     NAME = "java"
-    LEX = lexer(rf'"""[ \t\r\f]*\n(?:[^\\"]|\\[\s\S]|"(?!""))*"""|{STRING}|{CHAR}|{NAMES}|{NUMBER}|\.\.\.|->|::|<<=|==|!=|<=|>=|&&|\|\||\+\+|--|[-+*/%&|^]=|<<', SKIP)
+    LEX = lexer(rf'{NAMES}|{NUMBER}|"""[ \t\r\f]*\n(?:[^\\"]|\\[\s\S]|"(?!""))*"""|{STRING}|{CHAR}|\.\.\.|->|::|<<=|==|!=|<=|>=|&&|\|\||\+\+|--|[-+*/%&|^]=|<<', SKIP)
     KINDS = Kinds(JAVA_WORDS)
     PRIMITIVES = frozenset("boolean byte char double float int long short void".split())
     MODIFIERS = frozenset("public protected private static abstract final native synchronized transient volatile strictfp default".split())
@@ -606,7 +607,7 @@ CS_WORDS = (
 class CSharp(Typed):
     NAME = "c#"
     LEX = lexer(
-        rf'\$*"""[\s\S]*?"""|\$@"(?:[^"]|"")*"|@\$?"(?:[^"]|"")*"|\$"(?:[^"\\\n{{]|\\.|\{{\{{|\{{[^{{}}\n]*\}})*"|{STRING}|{CHAR}|@?{NAMES}|{NUMBER}|\?\?=|=>|\?\?|\?\.|\?(?=\[)|\.\.|->|::|<<=|==|!=|<=|>=|&&|\|\||\+\+|--|[-+*/%&|^]=|<<',
+        rf'@?{NAMES_ONLY}|{NUMBER}|\$*"""[\s\S]*?"""|\$@"(?:[^"]|"")*"|@\$?"(?:[^"]|"")*"|\$"(?:[^"\\\n{{]|\\.|\{{\{{|\{{[^{{}}\n]*\}})*"|{STRING}|{CHAR}|\?\?=|=>|\?\?|\?\.|\?(?=\[)|\.\.|->|::|<<=|==|!=|<=|>=|&&|\|\||\+\+|--|[-+*/%&|^]=|<<',
         SKIP + r"|(?<![^\n])[ \t]*#[^\n]*",
     )
     KINDS = Kinds(CS_WORDS, "_@")
@@ -1323,7 +1324,7 @@ DIRECTIVE = re.compile(r"(?m)^[ \t]*#(?:[^\n\\]|\\\r?\n|\\.)*")
 
 class C(Typed):
     NAME = "c"
-    LEX = lexer(rf"(?:u8|[uUL])?{STRING}|(?:[uUL])?'(?:[^'\\\n]|\\[^\n])+'|{NAMES}|{NUMBER}|\.\.\.|<<=|>>=|->|==|!=|<=|>=|&&|\|\||\+\+|--|[-+*/%&|^]=|<<|>>", SKIP + r"|\\\r?\n")
+    LEX = lexer(rf"[A-Za-z_$\u0080-￿][\w$]*+(?![\"'])|{NUMBER}|(?:u8|[uUL])?{STRING}|(?:[uUL])?'(?:[^'\\\n]|\\[^\n])+'|{NAMES}|{NUMBER}|\.\.\.|<<=|>>=|->|==|!=|<=|>=|&&|\|\||\+\+|--|[-+*/%&|^]=|<<|>>", SKIP + r"|\\\r?\n")
     KINDS = Kinds(C_WORDS, "_$")
     SPECS = frozenset("auto char const double extern float inline int long register restrict short signed static typedef unsigned void volatile _Bool _Complex _Atomic _Noreturn _Thread_local __extension__ __inline __inline__ __restrict".split())
     PRIMITIVES = frozenset("char double float int long short signed unsigned void _Bool const volatile struct union enum".split())
@@ -1672,7 +1673,7 @@ GO_WORDS = "break case chan const continue default defer else fallthrough for fu
 
 class Go(Typed):
     NAME = "go"
-    LEX = lexer(rf"`[^`]*`|{STRING}|{CHAR}|[A-Za-z_\u0080-￿]\w*|{NUMBER}|\.\.\.|<<=|>>=|&\^=|&\^|<-|:=|==|!=|<=|>=|&&|\|\||\+\+|--|[-+*/%&|^]=|<<|>>", r"[ \t\r\f\v\xa0﻿]+|//[^\n]*|/\*[^\n]*?\*/")
+    LEX = lexer(rf"[A-Za-z_\u0080-￿]\w*|{NUMBER}|`[^`]*`|{STRING}|{CHAR}|\.\.\.|<<=|>>=|&\^=|&\^|<-|:=|==|!=|<=|>=|&&|\|\||\+\+|--|[-+*/%&|^]=|<<|>>", r"[ \t\r\f\v\xa0﻿]+|//[^\n]*|/\*[^\n]*?\*/")
     KINDS = Kinds(GO_WORDS, "_")
     BINARY = levels("||", "&&", "== != < > <= >=", "+ - | ^", "* / % << >> & &^")
     RIGHT = 0

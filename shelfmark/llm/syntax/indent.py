@@ -20,59 +20,50 @@ WORDS = (
 
 class Python(Parser):
     NAME = "python"
-    LEX = lexer(rf"{LONG}|{SHORT}|[^\W\d]\w*|{NUMBER}|\.\.\.|\*\*=|//=|<<=|>>=|:=|->|==|!=|<=|>=|\*\*|//|<<|>>|[-+*/%&|^@]=", r"[ \t\f\r﻿]+|#[^\n]*|\\\r?\n")
+    LEX = lexer(rf"[^\W\d]\w*+(?![\"'])|\n[ \t\f]*|{NUMBER}|{LONG}|{SHORT}|[^\W\d]\w*|\.\.\.|\*\*=|//=|<<=|>>=|:=|->|==|!=|<=|>=|\*\*|//|<<|>>|[-+*/%&|^@]=", r"[ \t\f\r﻿]+|#[^\n]*|\\\r?\n")
     KINDS = Kinds(WORDS, "_")
     BINARY = levels("if", "or", "and", "in not is < > <= >= == !=", "|", "^", "&", "<< >>", "+ -", "* / // % @", "**")
     ASSIGN = frozenset("+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split())
     RIGHT = 0
 
     def read(self, src):
-        tokens, lines, depth, stack = [], [], 0, [0]
-        at = 0
-        for m in self.LEX.finditer(src):
-            x = m.group(1)
-            if x == "\n":
-                if not depth and tokens and tokens[-1] not in ("\n", "\x01", "\x02"):
-                    tokens.append("\n")
-                    lines.append(False)
+        tokens, depth, stack, fresh = [], 0, [0], True
+        width = src[: len(src) - len(src.lstrip(" \t\f"))]
+        for x in self.LEX.findall(src):
+            if x[:1] == "\n":
+                if not depth:
+                    width = x[1:]
+                    if not fresh:
+                        fresh = True
+                        tokens.append("\n")
                 continue
             if not x:
                 break
-            if not depth and (not tokens or tokens[-1] in ("\n", "\x02")):
-                start = src.rfind("\n", 0, m.start(1)) + 1
-                width = len(src[start : m.start(1)].expandtabs(8).lstrip("﻿"))
-                if width > stack[-1]:
-                    stack.append(width)
-                    tokens.append("\x01")
-                    lines.append(False)
-                else:
-                    while width < stack[-1]:
+            if fresh:
+                fresh = False
+                at = len(width.expandtabs(8)) if "\t" in width else len(width)
+                if at != stack[-1]:
+                    while at < stack[-1]:
                         stack.pop()
                         tokens.append("\x02")
-                        lines.append(False)
-                    if width != stack[-1]:
-                        stack.append(width)
+                    if at != stack[-1]:
+                        stack.append(at)
                         tokens.append("\x01")
-                        lines.append(False)
             if x in "([{":
                 depth += 1
             elif x in ")]}" and depth:
                 depth -= 1
             tokens.append(x)
-            lines.append(False)
-        if tokens and tokens[-1] != "\n":
+        if tokens and not fresh:
             tokens.append("\n")
-            lines.append(False)
-        for _ in stack[1:]:
-            tokens.append("\x02")
-            lines.append(False)
-        return tokens, lines
+        tokens.extend(["\x02"] * (len(stack) - 1))
+        return tokens, [False] * len(tokens)
 
     def line(self, at):
         want = sum(1 for x in self.t[:at] if x not in ("\n", "\x01", "\x02", ""))
         for m in self.LEX.finditer(self.src):
             x = m.group(1)
-            if x and x != "\n":
+            if x and x[0] != "\n":
                 if not want:
                     return self.src.count("\n", 0, m.start(1)) + 1
                 want -= 1
@@ -503,21 +494,19 @@ class Python(Parser):
         self.need("\x02")
 
     def run(self):
-        """Errors of this parser; the interpreter's own grammar has the last word on acceptance."""
-        src = self.src.lstrip("﻿")
+        """Errors of this parser; what it rejects must be rejected by the interpreter's own grammar, too."""
+        found = super().run()
+        if not found:
+            return []
         try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
-                ast.parse(src)
+                ast.parse(self.src.lstrip("﻿"))
             return []
-        except SyntaxError as e:
-            last = (e.lineno or 1, f"grammar: {e.msg}")
-        except (ValueError, RecursionError, MemoryError) as e:
-            last = (1, f"grammar: {e}")
-        return super().run() or [last]
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return found
 
 
-Kinds.__missing__  # noqa: B018
 for _c in ("\n", "\x01", "\x02"):
     Python.KINDS[_c] = _c
 Python.TABLE = {

@@ -18,7 +18,6 @@ WORDS = (
 )
 HEREDOC = re.compile(r"<<[~-]?(['\"`]?)([A-Z_]\w*)\1")
 REGEX = re.compile(r"/(?:[^/\\\n]|\\.)+/[a-z]*")
-MAYBE_REGEX = re.compile(r"(?:[(,=~|&!{\[;]|\b(?:if|unless|when|and|or|not|return|while|until|elsif|split|match|gsub|sub|scan|match\?))[ \t]*\(?/[^/\n]")
 
 
 def without_heredocs(src: str) -> str:
@@ -54,13 +53,10 @@ class Ruby(Parser):
             src = without_heredocs(src)
         if "__END__" in src:
             src = re.split(r"(?m)^__END__\s*$", src)[0]
-        slow = "/" in src and MAYBE_REGEX.search(src)
-        tokens, lines, fresh, at = [], [], True, 0
-        space: list[bool] = []
-        if slow:
+        tokens, lines = [], []
+        found = self.LEX.findall(src)
+        if "/" in found or "/=" in found:  # a division, or a regular expression
             found = self.slow(src)
-        else:
-            found = self.LEX.findall(src)
         for x in found:
             if x == "\n":
                 if tokens and tokens[-1] != "\n":

@@ -12,7 +12,6 @@ NUMBER = r"0[xXbBoO][\da-fA-F_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\
 PUNCT = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*"
 SKIP = r"[ \t\r\f\v\xa0﻿]+|//[^\n]*|/\*[\s\S]*?\*/"
 REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
-MAYBE_REGEX = re.compile(r"(?:[(,=:\[!&|?{};+*%~^<>]|\breturn|\btypeof|\bcase|\n)[ \t]*/(?![/*])")
 # Reserved words.
 WORDS = (
     "break case catch class const continue debugger default delete do else export extends finally for function if import in "
@@ -23,7 +22,7 @@ WORDS = (
 class JavaScript(Parser):
     NAME = "javascript"
     TS = False
-    LEX = lexer(rf"{STRING}|{TEMPLATE}|#?[A-Za-z_$\u0080-￿][\w$]*|{NUMBER}|{PUNCT}", SKIP)
+    LEX = lexer(rf"#?[A-Za-z_$\u0080-￿][\w$]*|{NUMBER}|{STRING}|{TEMPLATE}|{PUNCT}", SKIP)
     KINDS = Kinds(WORDS, "_$#")
     BINARY = levels("= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=", "?", "??", "||", "&&", "|", "^", "&", "== != === !==", "< > <= >= instanceof in", "<< >> >>>", "+ -", "* / %", "**")
     PREFIX = frozenset("+ - ! ~ ++ -- typeof void delete".split())
@@ -32,9 +31,10 @@ class JavaScript(Parser):
     def read(self, src):
         if src.startswith("#!"):
             src = "//" + src[2:]
-        if MAYBE_REGEX.search(src):
+        tokens, lines = super().read(src)
+        if "/" in tokens or "/=" in tokens:  # a division, or a regular expression
             return self.read_slowly(src)
-        return super().read(src)
+        return tokens, lines
 
     def read_slowly(self, src):
         tokens, lines, fresh, at, n = [], [], True, 0, len(src)
