@@ -99,16 +99,27 @@ class Parser:
                     match[stack.pop()] = j
         return match
 
-    def line(self, at: int) -> int:
-        """Line of the token with number ``at``; found by reading again, as errors are rare."""
-        j, fresh = -1, 0
-        for m in self.LEX.finditer(self.src):
+    OWN: tuple[str, ...] = ()  # tokens that a reader adds
+    table: list[int] | None = None
+
+    def token_lines(self) -> list[int]:
+        """Lines of the tokens read from the text; made once, and only for files with errors."""
+        out, n, at, src = [], 1, 0, self.src
+        for m in self.LEX.finditer(src):
             x = m.group(1)
-            if x and x != "\n":
-                j += 1
-                if j == at:
-                    return self.src.count("\n", 0, m.start(1)) + 1
-        return self.src.count("\n", 0, len(self.src.rstrip())) + 1
+            if x and x[0] != "\n":
+                n += src.count("\n", at, m.start(1))
+                at = m.start(1)
+                out.append(n)
+        out.append(src.count("\n", 0, len(src.rstrip())) + 1)
+        return out
+
+    def line(self, at: int) -> int:
+        if self.table is None:
+            self.table = self.token_lines()
+        if self.OWN:
+            at = sum(x not in self.OWN for x in self.t[:at])
+        return self.table[min(at, len(self.table) - 1)]
 
     def fail(self, why: str):
         raise Bad(self.i, why)

@@ -1699,21 +1699,19 @@ class Go(Typed):
         self.bare = 0
         return tokens, lines
 
-    def line(self, at):
-        n, j, last = 1, -1, None
+    def token_lines(self):
+        n, out, last = 1, [], None
         for x in self.LEX.findall(self.src):
             if x == "\n":
                 if last and self.KINDS[last] in self.LINE_ENDS:
-                    j, last = j + 1, ";"
-                    if j >= at:
-                        return n
+                    last = ";"
+                    out.append(n)
                 n += 1
             elif x:
+                out.append(n)
                 n += x.count("\n")
-                j, last = j + 1, x
-                if j >= at:
-                    return n
-        return n
+                last = x
+        return [*out, n]
 
     def end(self):
         if self.k[self.i] not in ("}", ")"):

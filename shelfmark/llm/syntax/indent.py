@@ -59,15 +59,7 @@ class Python(Parser):
         tokens.extend(["\x02"] * (len(stack) - 1))
         return tokens, [False] * len(tokens)
 
-    def line(self, at):
-        want = sum(1 for x in self.t[:at] if x not in ("\n", "\x01", "\x02", ""))
-        for m in self.LEX.finditer(self.src):
-            x = m.group(1)
-            if x and x[0] != "\n":
-                if not want:
-                    return self.src.count("\n", 0, m.start(1)) + 1
-                want -= 1
-        return self.src.count("\n", 0, len(self.src.rstrip())) + 1
+    OWN = ("\n", "\x01", "\x02", "")
 
     def recover(self, start):
         k, i = self.k, max(self.i, start)

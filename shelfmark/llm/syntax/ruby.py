@@ -68,7 +68,7 @@ class Ruby(Parser):
                     lines.pop()
                 tokens.append(x)
                 lines.append(False)
-        self.clean = src
+        self.src = src
         return tokens, lines
 
     def slow(self, src):
@@ -90,15 +90,7 @@ class Ruby(Parser):
             at = end
         return out
 
-    def line(self, at):
-        want = sum(1 for x in self.t[:at] if x not in ("\n", ""))
-        for m in self.LEX.finditer(self.clean):
-            x = m.group(1)
-            if x and x != "\n":
-                if not want:
-                    return self.clean.count("\n", 0, m.start(1)) + 1
-                want -= 1
-        return self.src.count("\n", 0, len(self.src.rstrip())) + 1
+    OWN = ("\n", "")
 
     def recover(self, start):
         k, i = self.k, max(self.i, start)
