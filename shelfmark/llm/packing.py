@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: one token is a maximal run of ASCII letters, digits and _, or one other non-blank character.
 # The blanks are those of Unicode; Java's \s knows ASCII only.
-BLANKS = r"\s\x0B\x1C-\x1F\x85\xA0  -     　"
+BLANKS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 TOKEN = rf"[A-Za-z0-9_]+|[^A-Za-z0-9_{BLANKS}]"
 TOKENIZERS = os.environ.get("SHELFMARK_TOKENIZERS", "/opt/tokenizers")
 
