@@ -138,12 +138,30 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(repos, pa.string()), pa.array([p.rsplit("/", 1)[0] for p in paths], pa.string()), *cols], names=["file_id", "repo_id", "dir", *LABELS])
 
 
-def message(belief: list[Column], coupling: float) -> list[Column]:
-    """Potts message from a log belief: between 0 and ``coupling`` for every label."""
-    top = F.greatest(*belief)
-    e = [F.exp(b - top) for b in belief]
-    total = sum(e[1:], e[0])
-    return [F.log1p(F.lit(math.expm1(coupling)) * x / total) for x in e]
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: expressions nested in each other would else
+    multiply, as the optimizer writes them out at each use."""
+    return F.transform(F.array(value), use)[0]
+
+
+def message(belief: Column, coupling: float) -> Column:
+    """Potts message from an array of log beliefs: between 0 and ``coupling`` for every label."""
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    sent = lambda e: let(total(e), lambda t: F.transform(e, lambda x: F.log1p(F.lit(math.expm1(coupling)) * x / t)))
+    scaled = lambda b: let(F.array_max(b), lambda top: F.transform(b, lambda x: F.exp(x - top)))
+    return let(belief, lambda b: let(scaled(b), sent))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def _minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def _sum(c: str) -> Column:
+    return F.array(*[F.sum(F.col(c)[k]) for k in range(len(LABELS))])
 
 
 class Provenance:
@@ -174,44 +192,38 @@ class Provenance:
         return joined.withColumn("vendored", F.when(weak & F.col("rare"), F.col("vendored") + 2).when(weak, F.col("vendored") - 1.2).otherwise(F.col("vendored"))).drop("lib", "rare")
 
     def beliefs(self) -> DataFrame:
-        """(repo_id, dir, b_<label>): beliefs of the directories after the last round."""
-        ev = self.evidence
-        sent = [m.alias(f"s_{x}") for x, m in zip(LABELS, message([F.col(x) for x in LABELS], self.coupling))]
-        base = ev.select("repo_id", "dir", *sent).groupBy("repo_id", "dir").agg(*[F.sum(f"s_{x}").alias(f"f_{x}") for x in LABELS])
+        """(repo_id, dir, b): log beliefs of the directories after the last round.
+
+        ``f`` adds up what the files of a directory say, ``u`` is its message to the directory
+        above, ``d`` the one from there.
+        """
+        zero = F.array(*[F.lit(0.0)] * len(LABELS))
+        base = self.evidence.select("repo_id", "dir", message(F.array(*LABELS), self.coupling).alias("s")).groupBy("repo_id", "dir").agg(_sum("s").alias("f"))
         # every folder above one with files is a node, too
         parts = F.split("dir", "/")
         up = base.select("repo_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir")).distinct()
-        dirs = up.join(base, ["repo_id", "dir"], "left")
-        zero = F.lit(0.0)
-        dirs = dirs.select(
-            "repo_id", "dir", F.when(F.col("dir") == "", None).otherwise(F.regexp_replace("dir", r"/[^/]*$", "")).alias("parent"),
-            *[F.coalesce(F.col(f"f_{x}"), zero).alias(f"f_{x}") for x in LABELS], *[zero.alias(f"u_{x}") for x in LABELS], *[zero.alias(f"d_{x}") for x in LABELS],
-        )
+        parent = F.when(F.col("dir") == "", None).otherwise(F.regexp_replace("dir", r"/[^/]*$", ""))
+        dirs = up.join(base, ["repo_id", "dir"], "left").select("repo_id", "dir", parent.alias("parent"), F.coalesce("f", zero).alias("f"), zero.alias("u"), zero.alias("d"))
+
+        def believed(dirs: DataFrame) -> DataFrame:
+            below = dirs.where("parent is not null").groupBy("repo_id", F.col("parent").alias("dir")).agg(_sum("u").alias("c"))
+            return dirs.join(below, ["repo_id", "dir"], "left").withColumn("b", _plus(_plus(F.col("f"), F.coalesce("c", zero)), F.col("d"))).drop("c")
+
         for _ in range(self.rounds):
-            dirs = cut(dirs)
-            below = dirs.where("parent is not null").groupBy("repo_id", F.col("parent").alias("dir")).agg(*[F.sum(f"u_{x}").alias(f"c_{x}") for x in LABELS])
-            full = dirs.join(below, ["repo_id", "dir"], "left").withColumns({f"b_{x}": F.col(f"f_{x}") + F.coalesce(F.col(f"c_{x}"), zero) + F.col(f"d_{x}") for x in LABELS})
-            above = full.select("repo_id", F.col("dir").alias("parent"), *[F.col(f"b_{x}").alias(f"p_{x}") for x in LABELS])
-            new_up = message([F.col(f"b_{x}") - F.col(f"d_{x}") for x in LABELS], self.coupling)
-            new_down = message([F.coalesce(F.col(f"p_{x}"), zero) - F.col(f"u_{x}") for x in LABELS], self.coupling)
-            dirs = full.join(above, ["repo_id", "parent"], "left").select(
-                "repo_id", "dir", "parent", *[F.col(f"f_{x}") for x in LABELS], *[u.alias(f"u_{x}") for x, u in zip(LABELS, new_up)],
-                *[F.when(F.col("parent").isNull(), zero).otherwise(d).alias(f"d_{x}") for x, d in zip(LABELS, new_down)],
-            )
-        dirs = cut(dirs)
-        below = dirs.where("parent is not null").groupBy("repo_id", F.col("parent").alias("dir")).agg(*[F.sum(f"u_{x}").alias(f"c_{x}") for x in LABELS])
-        return dirs.join(below, ["repo_id", "dir"], "left").select("repo_id", "dir", *[(F.col(f"f_{x}") + F.coalesce(F.col(f"c_{x}"), zero) + F.col(f"d_{x}")).alias(f"b_{x}") for x in LABELS])
+            full = believed(cut(dirs))
+            above = full.select("repo_id", F.col("dir").alias("parent"), F.col("b").alias("p"))
+            down = F.when(F.col("p").isNull(), zero).otherwise(message(_minus(F.col("p"), F.col("u")), self.coupling))
+            dirs = full.join(above, ["repo_id", "parent"], "left").select("repo_id", "dir", "parent", "f", message(_minus(F.col("b"), F.col("d")), self.coupling).alias("u"), down.alias("d"))
+        return believed(cut(dirs)).select("repo_id", "dir", "b")
 
     def labels(self) -> DataFrame:
         """(file_id, repo_id, label, p_handwritten)."""
-        own = message([F.col(x) for x in LABELS], self.coupling)
-        back = message([F.col(f"b_{x}") - o for x, o in zip(LABELS, own)], self.coupling)
-        j = self.evidence.join(self.beliefs(), ["repo_id", "dir"])
-        j = j.select("file_id", "repo_id", *[(F.col(x) + m).alias(x) for x, m in zip(LABELS, back)])
-        top = F.greatest(*LABELS)
-        total = sum((F.exp(F.col(x) - top) for x in LABELS[1:]), F.exp(F.col(LABELS[0]) - top))
-        label = F.coalesce(*[F.when(F.col(x) == top, F.lit(x)) for x in LABELS])
-        return j.select("file_id", "repo_id", label.alias("label"), F.round(F.exp(F.col("handwritten") - top) / total, 6).alias("p_handwritten"))
+        own = F.array(*LABELS)
+        j = self.evidence.join(self.beliefs(), ["repo_id", "dir"]).select("file_id", "repo_id", _plus(own, message(_minus(F.col("b"), message(own, self.coupling)), self.coupling)).alias("x"))
+        names = F.array(*[F.lit(x) for x in LABELS])
+        share = let(F.col("x"), lambda x: let(F.array_max(x), lambda top: F.exp(x[0] - top) / F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))))
+        label = let(F.col("x"), lambda x: names[(F.array_position(x, F.array_max(x)) - 1).cast("int")])
+        return j.select("file_id", "repo_id", label.alias("label"), F.round(share, 6).alias("p_handwritten"))
 
     def foreign(self) -> DataFrame:
         """(file_id): files that were more likely not written by hand here."""

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.runtime import cut
+
 # Function words of common written languages.
 FUNCTION_WORDS = frozenset(
     """
@@ -90,7 +92,7 @@ def verdict(line: str, common: frozenset[str] | set[str]) -> int:
     if letters < 0.6 * max(1, dense - code) or letters < 2.2 * len(words):
         return 0
     need = 0.16 if len(words) >= 8 else 0.24
-    if TABLE.search(bare):
+    if ("\t" in bare or "   " in bare or bare.count(",") > 2 or bare.count(";") > 1) and TABLE.search(bare):
         need = 0.3
     if hits < need * len(words) or known < 0.6 * len(words):
         return 0
@@ -183,7 +185,8 @@ def statistics(documents: DataFrame, most_words: int = 50_000) -> DataFrame:
         common.setdefault(x["language"], set(COMMON)).add(x["word"])
     frozen = {k: frozenset(v | {plain(w) for w in v}) for k, v in common.items()}
     schema = "doc_id long, language string, " + ", ".join(f"{s} double" for s in STATS)
-    return docs.mapInArrow(_measurer(frozen), schema)
+    # read twice, for the sketches and for the rows
+    return cut(docs.mapInArrow(_measurer(frozen), schema))
 
 
 def sketches(stats: DataFrame, k: int = 200) -> DataFrame:
@@ -191,21 +194,33 @@ def sketches(stats: DataFrame, k: int = 200) -> DataFrame:
     return stats.groupBy("language").agg(*[F.kll_sketch_agg_double(s, k).alias(f"k_{s}") for s in STATS])
 
 
-def graded(stats: DataFrame, tail: float = 0.01) -> DataFrame:
+def quantiles(stats: DataFrame, points: int = 200) -> DataFrame:
+    """(language, q_<statistic>): quantiles at 0, 1/points, ... 1, read from the sketches."""
+    at = F.array(*[F.lit(k / points) for k in range(points + 1)])
+    return sketches(stats).select("language", *[F.kll_sketch_get_quantile_double(f"k_{s}", at).alias(f"q_{s}") for s in STATS])
+
+
+def _count_below(value: Column):
+    return lambda n, x: n + F.when(x < value, 1).otherwise(0)
+
+
+def graded(stats: DataFrame, tail: float = 0.01, points: int = 200) -> DataFrame:
     """Statistics with percentile, robust z-score and tail flag within their language.
 
-    A z-score is (x - median) / (interquartile range / 1.349); where that range is 0 it is
-    taken as 1e-6, so a value that differs from a constant is far out.
+    A percentile is the share of the language's quantiles below the value. A z-score is
+    (x - median) / (interquartile range / 1.349); where that range is 0 it is taken as 1e-6, so
+    a value that differs from a constant is far out.
     """
-    joined = stats.join(sketches(stats), "language")
-    out = ["doc_id", "language", *STATS]
+    joined = stats.join(quantiles(stats, points), "language")
+    out = []
     for s in STATS:
-        q = [F.kll_sketch_get_quantile_double(f"k_{s}", F.lit(p)) for p in (0.25, 0.5, 0.75)]
-        joined = joined.withColumn(f"p_{s}", F.round(F.kll_sketch_get_rank_double(f"k_{s}", F.col(s)), 6))
-        joined = joined.withColumn(f"z_{s}", F.round((F.col(s) - q[1]) / F.greatest((q[2] - q[0]) / 1.349, F.lit(1e-6)), 6))
-        out += [f"p_{s}", f"z_{s}"]
-    low = [F.when((F.col(f"p_{s}") <= tail) | (F.col(f"p_{s}") > 1 - tail), F.lit(s)) for s in STATS]
-    return joined.select(*out, F.array_compact(F.array(*low)).alias("tails"), not_prose().alias("not_prose"))
+        q = F.col(f"q_{s}")
+        below = F.aggregate(q, F.lit(0), _count_below(F.col(s)))
+        out.append(F.round(below / F.lit(points + 1.0), 6).alias(f"p_{s}"))
+        out.append(F.round((F.col(s) - q[points // 2]) / F.greatest((q[3 * points // 4] - q[points // 4]) / 1.349, F.lit(1e-6)), 6).alias(f"z_{s}"))
+    graded_ = joined.select("doc_id", "language", *STATS, *out)
+    tails = [F.when((F.col(f"p_{s}") <= tail) | (F.col(f"p_{s}") > 1 - tail), F.lit(s)) for s in STATS]
+    return graded_.select("*", F.array_compact(F.array(*tails)).alias("tails"), not_prose().alias("not_prose"))
 
 
 def not_prose() -> Column:
