@@ -44,9 +44,12 @@ def order_files(files: DataFrame, stopwords: DataFrame | None = None, connection
     ``edges`` replaces the import analysis by known edges. Statuses: ordered, ordered_static_only
     (no similarity), ordered_content_only (no import analysis), pair (two files: all scores one,
     none reported), lexicographic_size, lexicographic_error. Repeated rows keep their places;
-    columns beyond the four pass through.
+    columns beyond the four pass through, but for those named like a column of the result.
     """
-    files = gated(presorted(flat(files)), max_repo_size)
+    files = flat(files)
+    base = [c for c in ("file_id", "repo_id", "path", "language", "content") if c in files.columns]
+    extras = [c for c in files.columns if c not in (*base, "pos", "idx", "n_files", "gate", "matching_score", "status", "solved", "extras_")]
+    files = gated(presorted(files.select(*base, *([F.struct(*extras).alias("extras_")] if extras else []))), max_repo_size)
     stopwords = stopwords if stopwords is not None else shipped(files.sparkSession)
     cond = cut(conditions(files))
     scored = files.join(cond.where("gate and n_files > 2 and not no_content").select("repo_id"), "repo_id", "left_semi")
@@ -64,8 +67,8 @@ def order_files(files: DataFrame, stopwords: DataFrame | None = None, connection
     sims = combine.boosted(sim.unionByName(pairs), graph, scale.unionByName(alone), connection_boost)
     todo = plan.where("gate and (has_s or not no_graph)").select("repo_id")
     order = (
-        files.join(todo, "repo_id", "left_semi").select("repo_id", "idx").groupBy("repo_id")
-        .cogroup(sims.join(todo, "repo_id", "left_semi").groupBy("repo_id")).applyInPandas(order_repository, ORDER)
+        files.join(todo, "repo_id", "left_semi").select("repo_id", "idx").toDF("repo_id", "idx").groupBy("repo_id")
+        .cogroup(sims.join(todo, "repo_id", "left_semi").toDF("repo_id", "i", "j", "s").groupBy("repo_id")).applyInPandas(order_repository, ORDER)
     )
     rest = files.join(todo, "repo_id", "left_anti").select("repo_id", F.col("idx").alias("pos"), "idx", F.lit(False).alias("solved"))
     order = cut(order.unionByName(rest))
@@ -76,8 +79,8 @@ def order_files(files: DataFrame, stopwords: DataFrame | None = None, connection
     )
     out = scores.join(plan.select("repo_id", "has_s", "no_graph"), "repo_id").join(files, ["repo_id", "idx"]).withColumn("status", status)
     keep = F.col("status").isin("ordered", "ordered_content_only")
-    rest_columns = [c for c in files.columns if c not in ("repo_id", "idx", "path", "language", "content", "gate", "n_files", "pos", "status", "matching_score")]
-    return out.select("repo_id", "pos", "idx", "path", "language", "content", *rest_columns, F.when(keep, F.col("matching_score")).alias("matching_score"), "status")
+    more = [F.col(c) for c in base if c == "file_id"] + [F.col(f"extras_.{c}") for c in extras]
+    return out.select("repo_id", "pos", "idx", "path", "language", "content", *more, F.when(keep, F.col("matching_score")).alias("matching_score"), "status")
 
 
 def repository_metrics(ordered: DataFrame, edges: DataFrame) -> DataFrame:
