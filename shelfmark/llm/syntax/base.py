@@ -168,7 +168,7 @@ class Parser:
         one = one or self.statement
         self.deep += 1
         if self.deep > 180:
-            raise Bad(self.i, "nested too deeply")
+            raise RecursionError
         while True:
             k = self.k[self.i]
             if k == end:
@@ -226,7 +226,7 @@ class Parser:
         k = self.k
         self.deep += 1
         if self.deep > 220:
-            self.fail("nested too deeply")
+            raise RecursionError
         self.unary()
         while True:
             op = k[self.i]

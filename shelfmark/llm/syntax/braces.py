@@ -1599,7 +1599,7 @@ class C(Typed):
         i, k = self.i, self.k
         a = k[i]
         if a == "s":
-            while k[self.i] == "s" or (k[self.i] == "i" and k[self.i - 1] == "s" and k[self.i + 1] == "s"):
+            while k[self.i] == "s" or (k[self.i] == "i" and (k[self.i + 1] == "s" or self.t[self.i].startswith(("PRI", "SCN")))):
                 self.i += 1
         elif a in ("i", "n"):
             self.i += 1
@@ -1978,9 +1978,12 @@ class Go(Typed):
                     if self.k[self.i] == "{":
                         self.literal()
                 else:
-                    self.simple()
+                    self.expr()
                 if not self.have(","):
                     break
+            if self.k[self.i] in self.ASSIGN or self.k[self.i] == "<-":
+                self.i += 1
+                self.exprs()
             self.bare = save
         else:
             self.need("default")

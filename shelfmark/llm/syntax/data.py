@@ -28,7 +28,7 @@ class Json(Parser):
         k = self.k[self.i]
         self.deep += 1
         if self.deep > 400:
-            self.fail("nested too deeply")
+            raise RecursionError
         if k == "{":
             self.i += 1
             self.members("}", self.pair)
@@ -77,5 +77,7 @@ class Json(Parser):
         try:
             json.loads(self.src.lstrip("﻿"), parse_constant=_no_constant)
             return []
-        except (ValueError, RecursionError) as e:
+        except RecursionError:
+            return []
+        except ValueError as e:
             return super().run() or [(1, f"grammar: {e}")]

@@ -115,7 +115,7 @@ class Ruby(Parser):
 
         self.deep += 1
         if self.deep > 150:
-            self.fail("nested too deeply")
+            raise RecursionError
         while True:
             self.skip()
             k = self.k[self.i]
