@@ -64,7 +64,7 @@ AFTER = {
 }
 AFTER["typescript"] = AFTER["javascript"]
 ARROW = re.compile(r"\s*(?::\s*[^={;]+?)?=>\s*")
-NOTE = re.compile(r"^[ \t]*(?:@[\w.]+|\[[A-Za-z][^\n]*\][ \t]*$|#\[)")
+NOTE = re.compile(r"[ \t]*(?:@[\w.]+|\[[A-Za-z][^\n]*\][ \t]*(?=\n|\Z)|#\[)")
 
 # Description of a documentation text -------------------------------------------------------
 MARKS = re.compile(r"^[ \t]*(?:/\*[*!]*|\*+/?|///?[/!]?|#+[!']?|=begin|=end)?[ \t]?")

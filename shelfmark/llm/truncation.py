@@ -57,9 +57,9 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 
 def limits(lengths: DataFrame) -> DataFrame:
     """(source, cap): lengths at which a feed cuts. Just there (or up to three bytes below, for
-    half a character) lie at least five values, half of those within a tenth below, and more
-    than twice as many as lie beyond."""
-    by = lengths.groupBy("source", "len").agg(F.count("*").alias("n")).where("len >= 16").withColumn("log", (F.log("len") * 1000).cast("int"))
+    half a character) lie at least five different values, half of those within a tenth below,
+    and more than twice as many as lie beyond. Copies count once (by a sketch of their hashes)."""
+    by = lengths.groupBy("source", "len").agg(F.approx_count_distinct("hash").alias("n")).where("len >= 16").withColumn("log", (F.log("len") * 1000).cast("int"))
     w = Window.partitionBy("source")
     by = by.withColumn("at", F.sum("n").over(w.orderBy("len").rangeBetween(-3, 0))).withColumn("near", F.sum("n").over(w.orderBy("log").rangeBetween(-105, 0)))
     by = by.withColumn("beyond", F.sum("n").over(w.orderBy(F.desc("len")).rowsBetween(Window.unboundedPreceding, -1)))
@@ -119,12 +119,12 @@ class Truncation:
         )
         rows = rows.select("*", _shape(F.col("tail")).alias("shape"), F.lower(F.regexp_extract("tail", FINAL, 1)).alias("final"))
         rows = rows.withColumn("open_words", F.size(_words(F.regexp_replace("tail", r"(?s)^.*(?:[.!?`]|\n\s*\n)", "")))).withColumn("stopped", F.col("dotted") | F.col("tail").rlike(r"[.!?:;)\]}>`\"'*_|=-]\s*$")).drop("tail")
-        chars = limits(whole.select("source", F.length("content").alias("len"))).withColumnRenamed("cap", "cap_chars")
-        bytes_ = limits(whole.select("source", F.octet_length("content").alias("len"))).withColumnRenamed("cap", "cap_bytes")
+        chars = limits(whole.select("source", F.length("content").alias("len"), F.xxhash64("content").alias("hash"))).withColumnRenamed("cap", "cap_chars")
+        bytes_ = limits(whole.select("source", F.octet_length("content").alias("len"), F.xxhash64("content").alias("hash"))).withColumnRenamed("cap", "cap_bytes")
         rows = rows.join(F.broadcast(chars.limit(10_000)), "source", "left").join(F.broadcast(bytes_.limit(10_000)), "source", "left")
         at_cap = F.coalesce(F.col("chars") == F.col("cap_chars"), F.lit(False)) | F.coalesce(F.col("bytes").between(F.col("cap_bytes") - 3, F.col("cap_bytes")), F.lit(False))
         rows = cut(rows.withColumn("at_cap", at_cap))
-        complete = rows.where("ended and not at_cap and not noted")
+        complete = rows.where("ended and not noted")
         shapes = complete.groupBy("lang", "shape").agg(F.count("*").alias("n_shape"))
         langs = complete.groupBy("lang").agg(F.count("*").alias("n_lang"))
         shapes = shapes.join(langs, "lang").where((F.col("n_shape") >= 2) & (F.col("n_shape") >= self.usual * F.col("n_lang"))).select("lang", "shape", F.lit(True).alias("known"))
