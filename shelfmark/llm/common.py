@@ -32,6 +32,12 @@ def language_column() -> Column:
     return F.coalesce(F.lower(F.trim("language")), F.try_element_at(by_end, ending), F.lit(""))
 
 
+def small_side(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` to join with: broadcast if it has at most ``most`` rows, else shuffled like any table."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of an undirected edge table (a, b), as (id, root).
 

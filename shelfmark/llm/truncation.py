@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import language_column
+from shelfmark.llm.common import language_column, small_side
 from shelfmark.llm.syntax import CHECKED, errors_of
 from shelfmark.runtime import cut
 
@@ -121,7 +121,7 @@ class Truncation:
         rows = rows.withColumn("open_words", F.size(_words(F.regexp_replace("tail", r"(?s)^.*(?:[.!?`]|\n\s*\n)", "")))).withColumn("stopped", F.col("dotted") | F.col("tail").rlike(r"[.!?:;)\]}>`\"'*_|=-]\s*$")).drop("tail")
         chars = limits(whole.select("source", F.length("content").alias("len"), F.xxhash64("content").alias("hash"))).withColumnRenamed("cap", "cap_chars")
         bytes_ = limits(whole.select("source", F.octet_length("content").alias("len"), F.xxhash64("content").alias("hash"))).withColumnRenamed("cap", "cap_bytes")
-        rows = rows.join(F.broadcast(chars.limit(10_000)), "source", "left").join(F.broadcast(bytes_.limit(10_000)), "source", "left")
+        rows = rows.join(small_side(chars), "source", "left").join(small_side(bytes_), "source", "left")
         at_cap = F.coalesce(F.col("chars") == F.col("cap_chars"), F.lit(False)) | F.coalesce(F.col("bytes").between(F.col("cap_bytes") - 3, F.col("cap_bytes")), F.lit(False))
         rows = cut(rows.withColumn("at_cap", at_cap))
         complete = rows.where("ended and not noted")
