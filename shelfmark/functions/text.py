@@ -61,16 +61,23 @@ def singular(w: Column) -> Column:
     return F.when(w.endswith("ies"), ies).when(w.endswith("es"), es).when(w.endswith("s"), s).otherwise(w)
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once; inside lambdas an expression would else be
+    computed anew for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def camel_pieces(w: Column) -> Column:
     """Pieces of a camelCase word; an empty array if there are not at least two."""
+    none = F.array().cast("array<string>")
     spaced = F.regexp_replace(w, r"((?<=[a-z])[A-Z]|(?<!^)[A-Z](?=[a-z]))", " $1")
     pieces = F.filter(F.split(F.regexp_replace(spaced, BLANKS, " "), " "), lambda x: x != "")
-    return F.when(w.rlike("[A-Z]") & (F.size(pieces) > 1), pieces).otherwise(F.array().cast("array<string>"))
+    return F.when(w.rlike("[A-Z]"), let(pieces, lambda p: F.when(F.size(p) > 1, p).otherwise(none))).otherwise(none)
 
 
 def snake_pieces(w: Column) -> Column:
-    pieces = F.split(w, "_", -1)
-    return F.when(F.size(pieces) > 1, pieces).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return F.when(w.contains("_"), F.split(w, "_", -1)).otherwise(none)
 
 
 def tail(pieces: Column) -> Column:
@@ -80,10 +87,13 @@ def tail(pieces: Column) -> Column:
 
 def bag(w: Column) -> Column:
     """The tokens of a stemmed and filtered word: itself, its pieces longer than two, and all in lower case."""
-    c, s = camel_pieces(w), snake_pieces(w)
-    pieces = F.filter(F.array_compact(F.concat(c, F.array(tail(c)), s, F.array(tail(s)))), lambda x: F.length(x) > MIN_LENGTH)
-    both = F.concat(F.array(w), pieces)
-    return F.concat(both, F.transform(both, F.lower))
+
+    def tokens(both: Column) -> Column:
+        c, s = both[0], both[1]
+        pieces = F.filter(F.array_compact(F.concat(c, F.array(tail(c)), s, F.array(tail(s)))), lambda x: F.length(x) > MIN_LENGTH)
+        return let(F.concat(F.array(w), pieces), lambda b: F.concat(b, F.transform(b, F.lower)))
+
+    return let(F.array(camel_pieces(w), snake_pieces(w)), tokens)
 
 
 def terms(tokens: Column) -> Column:
@@ -99,12 +109,6 @@ def strip_accents(c: Column) -> Column:
     return F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once; inside lambdas an expression would else be
-    computed anew for every element."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _starts(size: Column, n: int) -> Column:
     return F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
 
