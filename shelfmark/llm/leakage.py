@@ -7,9 +7,8 @@ task adds up its part of A'AQ, two power steps) gives a latent space, in which e
 meets every item window by cosine. Candidates are verified on the words: the longest common run
 decides a leak, the longest common subsequence and the item's answer tell paraphrases.
 
-Item windows have ``run`` words and start at every word; document windows have
-``run + stride - 1`` words and start at every ``stride``-th, so each shared run of ``run`` words
-lies whole in a document window and contains an item window.
+Windows of items and of documents have ``run`` words and start at every word, so a shared run
+of ``run`` words is the same window on both sides: its cosine is 1, whatever the weights are.
 
 The items are a bounded query set: beyond ``max_items`` an error is raised. What reaches the
 driver or the tasks' closures is bounded by the items' vocabulary, never by the documents.
@@ -90,11 +89,8 @@ def passages(documents: DataFrame, index: ItemIndex) -> DataFrame:
     return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(split, "doc_id long, words array<int>")
 
 
-def windows_of(words: list[int], size: int, stride: int) -> list[list[int]]:
-    if len(words) <= size:
-        return [words]
-    starts = [*range(0, len(words) - size, stride), len(words) - size]
-    return [words[s : s + size] for s in starts]
+def windows_of(words: list[int], size: int) -> list[list[int]]:
+    return [words[s : s + size] for s in range(len(words) - size + 1)]
 
 
 def _project(windows: list[list[int]], weight: np.ndarray, basis: np.ndarray, at_once: int = 1000) -> np.ndarray:
@@ -111,14 +107,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _power(runs: DataFrame, weight: np.ndarray, basis: np.ndarray, size: int, stride: int, buckets: int = 16) -> np.ndarray:
+def _power(runs: DataFrame, weight: np.ndarray, basis: np.ndarray, size: int, buckets: int = 16) -> np.ndarray:
     """A'A @ basis over all windows; parts are added up in ``buckets`` groups before the driver."""
     v, k = basis.shape
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros((v, k)), 0
         for batch in batches:
-            todo = [w for words in batch.column(0).to_pylist() for w in windows_of(words, size, stride)]
+            todo = [w for words in batch.column(0).to_pylist() for w in windows_of(words, size)]
             for at in range(0, len(todo), 2000):
                 some = todo[at : at + 2000]
                 rows = _project(some, weight, basis)
@@ -139,7 +135,7 @@ def _power(runs: DataFrame, weight: np.ndarray, basis: np.ndarray, size: int, st
     return sum((np.frombuffer(r["m"]).reshape(v, k) for r in parts), np.zeros((v, k)))
 
 
-def latent_space(runs: DataFrame, index: ItemIndex, rank: int, size: int, stride: int, steps: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def latent_space(runs: DataFrame, index: ItemIndex, rank: int, steps: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """IDF weights and an orthonormal latent basis (vocabulary x rank) by randomised SVD."""
     v = len(index.words)
     if not index.windows:
@@ -156,7 +152,7 @@ def latent_space(runs: DataFrame, index: ItemIndex, rank: int, size: int, stride
     # the items' own windows belong to the collection, so words of few documents have a direction
     own = index.windows
     for _ in range(steps):
-        y = _power(runs, weight, q, size, stride)
+        y = _power(runs, weight, q, index.run)
         if own:
             back = np.zeros_like(y)
             for at in range(0, len(own), 1000):
@@ -202,14 +198,14 @@ class LeakSearch:
     an empty result.
     """
 
-    def __init__(self, documents: DataFrame, items: DataFrame, run: int = 13, stride: int = 4, rank: int = 192, cosine: float = 0.8, max_items: int = 100_000):
-        self.run, self.stride, self.size, self.cosine = run, stride, run + stride - 1, cosine
+    def __init__(self, documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 192, cosine: float = 0.8, max_items: int = 100_000):
+        self.run, self.cosine = run, cosine
         rows = items.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id").limit(max_items + 1).collect()
         if len(rows) > max_items:
             raise ValueError(f"more than {max_items} items: search them in parts")
         self.index = ItemIndex([(r["item_id"], r["text"]) for r in rows], run)
         self.runs = cut(passages(documents, self.index))
-        self.weight, self.basis = latent_space(self.runs, self.index, rank, self.size, stride)
+        self.weight, self.basis = latent_space(self.runs, self.index, rank)
 
     def matches(self, paraphrases: bool = True) -> DataFrame:
         """(doc_id, item_id, cosine, run_words, item_share, answer): candidates and what the words say.
@@ -220,7 +216,7 @@ class LeakSearch:
         only pairs with a common run of ``run`` words come out, and the subsequence, which such
         pairs do not need, is left at 0.
         """
-        index, size, stride, least, run = self.index, self.size, self.stride, self.cosine, self.run
+        index, least, run = self.index, self.cosine, self.run
         grams = [frozenset(tuple(t[k : k + run]) for k in range(len(t) - run + 1)) for t in index.texts]
         weight, basis = self.weight, self.basis.astype(np.float32)
         target = _unit(_project(index.windows, weight, basis)).astype(np.float32).T if index.windows else np.zeros((basis.shape[1], 0), np.float32)
@@ -230,7 +226,7 @@ class LeakSearch:
                 docs, runs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 todo, of = [], []
                 for k, words in enumerate(runs):
-                    for w in windows_of(words, size, stride):
+                    for w in windows_of(words, run):
                         todo.append(w)
                         of.append(k)
                 best: dict[tuple[int, int], float] = {}

@@ -113,6 +113,16 @@ def test_leaks_against_brute_force(spark):
     assert LeakSearch(d, e.limit(0)).leaks().count() == 0
 
 
+def test_leaks_of_a_frequent_item_between_rare_words(spark):
+    items = [(k, " ".join(f"w{k}x{n}" for n in range(40))) for k in range(4)]
+    often = " ".join(items[0][1].split()[:20])
+    docs = [(k, often) for k in range(400)]
+    # 13 words of the frequent item, three words of other items around them
+    docs += [(1000 + k, f"zz w1x{k} w2x{k} " + " ".join(items[0][1].split()[k : k + 13]) + f" w3x{k} zz") for k in range(8)]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(x) for x in LeakSearch(d, e).leaks().collect()} == {(k, 0) for k, _ in docs}
+
+
 def test_quality(spark):
     prose = "The reader opens the file and then looks for a line that says what it does. " * 4
     docs = [(1, prose, "en"), (2, "- pump\n- valve\n- tank 2.1\n" * 5, "EN-us"), (3, "a,b,c\n1,2,3\n4,5,6\n" * 4, None), (4, None, "en"), (5, "  ", "en"), (6, prose.lower().replace(".", ""), "xx"),
