@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import language_column
 from shelfmark.llm.syntax import errors_of
-from shelfmark.llm.syntax.ruby import without_heredocs
+from shelfmark.llm.syntax.ruby import REGEX, without_heredocs
 
 LANGUAGES = ("python", "javascript", "typescript", "java", "go", "c", "c#", "ruby")
 
@@ -64,6 +64,11 @@ AFTER = {
 }
 AFTER["typescript"] = AFTER["javascript"]
 ARROW = re.compile(r"\s*(?::\s*[^={;]+?)?=>\s*")
+# Ruby: labels, symbols, variables and called names are whole tokens, so no keyword is seen in them.
+RUBY_TOKEN = re.compile(r"\\\n|&?\.\s*(?!\d)\w+[?!]?|::?\w+[?!]?|[@$]+\w+|\w+[?!]?:(?!:)|\w+[?!]?|[^\S\n]*\n|\S")
+RUBY_DEF = re.compile(r"[ \t]*(?:[\w:]+\.)?(?:\w+[?!]?(?:=(?=[ \t]*\())?|[^\w\s(.]+)")
+# Words behind which an if or while is no modifier.
+RUBY_BEFORE = frozenset("then else do begin ensure and or not if unless while until elsif when in case".split())
 NOTE = re.compile(r"[ \t]*(?:@[\w.]+|\[[A-Za-z][^\n]*\][ \t]*(?=\n|\Z)|#\[)")
 
 # Description of a documentation text -------------------------------------------------------
@@ -277,7 +282,9 @@ class Source:
     def body_end(self, start: int, after: int) -> int:
         """Where the function's body ends."""
         code, language = self.code, self.language
-        if language in ("python", "ruby"):
+        if language == "ruby":
+            return self.ruby_end(after)
+        if language == "python":
             line = code.rfind("\n", 0, start + 1) + 1 if code[start : start + 1] != "\n" else start + 1
             indent = len(code[line:]) - len(code[line:].lstrip(" \t"))
             at = code.find("\n", after)
@@ -288,7 +295,7 @@ class Source:
                 if row.strip():
                     deep = len(row) - len(row.lstrip(" \t"))
                     if deep <= indent:
-                        return (nxt if nxt >= 0 else len(code)) if language == "ruby" and row.strip().startswith("end") else at + 1
+                        return at + 1
                 if nxt < 0:
                     break
                 at = nxt
@@ -304,6 +311,80 @@ class Source:
                 return m.end()
         return len(code)
 
+    def ruby_end(self, after: int) -> int:
+        """Where a Ruby method ends whose name ends at ``after``: a stack of opening keywords and end."""
+        code = list(self.code)
+        for a in self.strings:
+            code[a] = '"'  # a string is a value
+        code = "".join(code)
+
+        def endless(at: int) -> int:
+            """Index after the = of a method without end, or -1."""
+            if code[at - 1] == "=":
+                return -1
+            gap = re.compile(r"[ \t]*(?=\()").match(code, at)
+            if gap:
+                at = closing(code, gap.end()) + 1
+                if not at:
+                    return -1
+            m = re.compile(r"[ \t]*=(?![=~>])" if gap else r"[ \t]+=(?![=~>])").match(code, at)
+            return m.end() if m else -1
+
+        at = endless(after)
+        short = at >= 0
+        stack, loop, brackets, before = [] if short else ["def"], False, 0, "=" if short else "\n"
+        at = at if short else after
+        while m := RUBY_TOKEN.search(code, at):
+            x, at = m.group(), m.end()
+            if x == "\\\n":
+                continue
+            value = before[-1] in ")]}\"" or (before[-1].isalnum() or before[-1] in "_?!" and len(before) > 1) and before not in RUBY_BEFORE
+            line = x.endswith("\n")
+            if line or x == ";":
+                if (value or x == ";" or before in ("end", "\n")) and not brackets:
+                    loop = False
+                    if short and not stack and not (line and re.compile(r"\s*&?\.\w").match(code, at)):
+                        return m.start()
+                before = before if line and not value and before not in ("end", ";") else "\n"
+                continue
+            if x == "/" and (not value or code[m.start() - 1].isspace() and not code[at : at + 1].isspace() and before[-1] not in ')]}"'):
+                r = REGEX.match(code, m.start())
+                if r:
+                    at, x = r.end(), '"'
+            elif x in "([{":
+                brackets += 1
+            elif x in ")]}":
+                brackets -= 1
+                if short and brackets < 0 and not stack:
+                    return m.start()
+            elif x in ("if", "unless", "while", "until", "for"):
+                if not value:
+                    stack.append(x)
+                    loop = x not in ("if", "unless")
+            elif x in ("class", "module", "begin", "case"):
+                stack.append(x)
+            elif x == "do":
+                if not loop:
+                    stack.append(x)
+                loop = False
+            elif x == "def":
+                d = RUBY_DEF.match(code, at)
+                at, x = d.end() if d else at, '"'
+                e = endless(at)
+                if e >= 0:
+                    at, x = e, "="
+                else:
+                    stack.append("def")
+                    x = "\n"
+            elif x == "end":
+                if short and not stack:
+                    return m.start()
+                stack.pop()
+                if not stack and not short:
+                    return at
+            before = x
+        return len(code)
+
     def pairs(self) -> list[tuple[str, int, str, str]]:
         """(name, line, description, code) of functions with real documentation."""
         out = []

@@ -123,6 +123,24 @@ def test_leaks_of_a_frequent_item_between_rare_words(spark):
     assert {tuple(x) for x in LeakSearch(d, e).leaks().collect()} == {(k, 0) for k, _ in docs}
 
 
+RUBY_BODIES = [
+    "def a(x)\n  work(x)\nrescue IOError => e\n  retry if e.now?\nelse\n  3\nensure\n  close\nend",
+    "def b; 1; end",
+    "def c(x)\n  if x then y = \"end\" if z\n  else 2 end\nputs :end, x.end, {if: 1}\n  while x do x -= 1 end\n  list.each do |v| v unless v end\nend",
+    "def self.d=(v)\n  @d = if v then 1 else 2 end\n  case v\n  when /end if/ then begin; 1; end while v > 4 / 2\n  end\nend",
+    "def e(x) = x.map do |v| v end",
+    "def f?\n  for q in 1..3 do\n    return 1 if q\n  end\n  x = %w[do if] unless y\n  text = \"s\" if y\n  def inner = 4\n  true\nend",
+    "def g(x)\n  until x\n    x.each do |y| if y then 1 end end\n  end\n  a ||\n    (b if c)\nend",
+]
+
+
+def test_ruby_bodies_end_with_their_end():
+    note = "  # Reads every waiting record and returns what could be kept.\n"
+    text = "class K\n" + "\n".join(f"{note}  {b}" for b in RUBY_BODIES) + "\n" + note + "  def last; 5; end end\n"
+    got = [p[3].strip() for p in docpairs.pairs_of("ruby", text)]
+    assert got == [*RUBY_BODIES, "def last; 5; end"]
+
+
 def test_quality(spark):
     prose = "The reader opens the file and then looks for a line that says what it does. " * 4
     docs = [(1, prose, "en"), (2, "- pump\n- valve\n- tank 2.1\n" * 5, "EN-us"), (3, "a,b,c\n1,2,3\n4,5,6\n" * 4, None), (4, None, "en"), (5, "  ", "en"), (6, prose.lower().replace(".", ""), "xx"),
