@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import language_column
+from shelfmark.llm.docpairs import PARTS
 from shelfmark.runtime import cut
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
@@ -50,6 +51,22 @@ TUPLE = re.compile(r"(?m)^[ \t]*[\[({][^\n]{8,400}[\])}],?[ \t]*$")
 SHAPE = re.compile(r"[A-Za-z0-9_.+-]+")
 
 
+def noted(pattern: re.Pattern, text: str, language: str) -> bool:
+    """Whether a notice stands anywhere in ``text``, but not inside a string that holds the text of another file."""
+    parts, at = PARTS.get(language), 0
+    inside = None
+    while m := pattern.search(text, at):
+        if m.start() < 1500 or parts is None:
+            return True
+        if inside is None:
+            inside = [x.span() for x in parts.finditer(text) if x.group(1) is None]
+        mark = m.start() + len(m.group()) - len(m.group().lstrip())
+        if not any(a < mark < b for a, b in inside):
+            return True
+        at = m.end()
+    return False
+
+
 def evidence(path: str, language: str, text: str | None) -> tuple[float, float, float, float, float]:
     """Log potentials of the five labels for one file; all its text is read."""
     hand, gen, mini, vend, blob = 2.0, 0.0, 0.0, 0.0, 0.0
@@ -63,7 +80,7 @@ def evidence(path: str, language: str, text: str | None) -> tuple[float, float,
     size = len(text)
     if lock and ("ersion" in text or "integrity" in text or "checksum" in text):
         gen += 6
-    if '"mappings"' in text and ('"sources"' in text or '"names"' in text) or MAP_NAME.search(name) and '"version"' in text[:40]:
+    if '"mappings"' in text and ('"sources"' in text or '"names"' in text) or MAP_NAME.search(name) and '"version"' in text:
         gen += 7
     if language == "json" and not lock and gen == 0:
         # exported records: many lines of one shape, or a long list of them
@@ -76,8 +93,7 @@ def evidence(path: str, language: str, text: str | None) -> tuple[float, float,
             blob += 2
         if text.count('"integrity"') >= 3 and text.count('"resolved"') >= 3:
             gen += 6
-    head = text[:1500]
-    if ORIGIN.search(head):
+    if noted(ORIGIN, text, language):
         gen += 6
     if GENERATED_NAME.search(name):
         gen += 2
@@ -88,9 +104,9 @@ def evidence(path: str, language: str, text: str | None) -> tuple[float, float,
         steps = sum(b == a + 1 for a, b in zip(runs, runs[1:]))
         if steps >= 0.6 * (len(runs) - 1):
             gen += 4.5 if steps >= 3 else 2.5
-    if UPSTREAM.search(head):
+    if noted(UPSTREAM, text, language):
         vend += 5
-    if OWNERS.search(head):
+    if noted(OWNERS, text, language):
         vend += 2.5
     if language != "json":
         v = VENDOR_DIRS.search(path)

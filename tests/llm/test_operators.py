@@ -12,7 +12,7 @@ from shelfmark.llm.common import components
 from shelfmark.llm.credentials import Credentials, literals
 from shelfmark.llm.leakage import LeakSearch, words_of
 from shelfmark.llm.neardup import NearDuplicates
-from shelfmark.llm.provenance import Provenance
+from shelfmark.llm.provenance import Provenance, evidence
 from shelfmark.llm.syntax import rates, verdicts
 from shelfmark.llm.truncation import Truncation
 
@@ -206,6 +206,17 @@ def test_truncation(spark):
     assert Truncation(files(spark, rows).limit(0)).found().count() == 0
 
 
+def test_notices_behind_a_long_header():
+    hand = "def f(x):\n    return x + 1\n"
+    licence = "# Permission is granted to whoever reads these lines of text.\n" * 40
+    weight = lambda text, path="/src/f.py", language="python": evidence(path, language, text)
+    assert weight(licence + "# Code generated by toolc v1.2. DO NOT EDIT.\n" + hand)[1] == weight("# Code generated by toolc v1.2. DO NOT EDIT.\n" + hand)[1] == 6
+    assert weight(licence + "# Vendored from a library.\n" + hand)[3] == 5 and weight(licence + "# (c) 2020 the authors\n" + hand)[3] == 2.5
+    # the text of a file that a generator writes is no notice about the generator
+    assert weight(licence + hand + 'T = """\n# Code generated by toolc v1.2. DO NOT EDIT.\n"""\n')[1] == 0
+    assert weight('{"file": "' + "a" * 60 + '.js", "version": 3}', "/a.js.map", "json")[1] == 7
+
+
 def test_provenance(spark):
     hand = "def f(x):\n    return x + 1\n"
     rows = [(k, "r", f"/src/f{k}.py", "Python", hand, None) for k in range(5)]
