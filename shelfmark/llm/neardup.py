@@ -52,18 +52,28 @@ def fingerprinter(shingle: int, min_words: int, blocks: int, rows: int):
     a, b = _arguments(slots)
     mix = np.random.RandomState(7).randint(1, 2**62, (rows, 2)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def chunk(ids: list[int], texts: list[str], known: _Hashes) -> pa.RecordBatch | None:
-        keep, flat, ends, keys = [], [], [], []
+    def chunk(ids: list[int], texts: list[str], known: _Hashes) -> Iterator[pa.RecordBatch]:
+        few, keep, flat, ends, keys = [], [], [], [], []
         for i, text in zip(ids, texts):
             words = WORDS.findall(text.lower())
             if len(words) < max(min_words, shingle):
+                if len(words) >= min_words:
+                    # no shingles: a class of the words, or of the text itself if it has none
+                    few.append((i, xxhash.xxh3_128_digest(" ".join(words) if words else f"\0{text}")))
                 continue
             keep.append(i)
             flat.extend([known[w] for w in words])
             ends.append(len(flat))
             keys.append(xxhash.xxh3_128_digest(" ".join(words)))
+        if few:
+            cls = np.frombuffer(b"".join(k for _, k in few), dtype=np.int64).reshape(-1, 2)
+            zero = pa.array(np.zeros(len(few), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in few], pa.int64()), pa.array(cls[:, 0].copy()), pa.array(cls[:, 1].copy()), zero, zero, pa.array([[]] * len(few), pa.list_(pa.int64()))],
+                names=["id", "c1", "c2", "s1", "s2", "blocks"],
+            )
         if not keep:
-            return None
+            return
         h = np.array(flat, dtype=np.uint64)
         ends = np.array(ends)
         starts = np.concatenate(([0], ends[:-1]))
@@ -95,7 +105,7 @@ def fingerprinter(shingle: int, min_words: int, blocks: int, rows: int):
         key = key * np.uint64(0xFF51AFD7ED558CCD) + np.arange(blocks, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
         cls = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keep) * blocks + 1, blocks, dtype=np.int32)), pa.array(np.ascontiguousarray(key.T).ravel().view(np.int64)))
-        return pa.RecordBatch.from_arrays(
+        yield pa.RecordBatch.from_arrays(
             [pa.array(keep, pa.int64()), pa.array(cls[:, 0].copy()), pa.array(cls[:, 1].copy()), pa.array(s1), pa.array(s2), lists],
             names=["id", "c1", "c2", "s1", "s2", "blocks"],
         )
@@ -109,9 +119,8 @@ def fingerprinter(shingle: int, min_words: int, blocks: int, rows: int):
                 size += len(texts[at] or "")
                 at += 1
                 if size > 1_000_000 or at == len(ids):
-                    rows_ = [(i, t) for i, t in zip(ids[start:at], texts[start:at]) if i is not None and t]
-                    if rows_ and (out := chunk([i for i, _ in rows_], [t for _, t in rows_], known)) is not None:
-                        yield out
+                    rows_ = [(i, t) for i, t in zip(ids[start:at], texts[start:at]) if i is not None and t is not None]
+                    yield from chunk([i for i, _ in rows_], [t for _, t in rows_], known)
                     start, size = at, 0
 
     return run
@@ -147,7 +156,8 @@ class NearDuplicates:
     """Near-duplicate classes of a text column.
 
     ``id`` must be unique and not null; rows with null text, or fewer than ``min_words``
-    words, belong to no class. Other columns are ignored, whatever their names.
+    words, belong to no class; rows of fewer than ``shingle`` words are only compared for
+    equal words (for equal texts without any word). Other columns are ignored, whatever their names.
 
     * :meth:`members` - (id, rep): each row and the smallest id of its word sequence
     * :meth:`links`   - (a, b): pairs of representatives with similarity >= threshold, a < b

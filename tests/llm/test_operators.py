@@ -55,6 +55,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert NearDuplicates(df.limit(0), "file_id", "content").pairs().count() == 0
 
 
+def test_groups_of_short_texts(spark, monkeypatch):
+    from shelfmark.llm import queries
+
+    six = "ka lo mi nu pe ri"
+    texts = ["one two", "One, two!", "one", "---", "---", "{}", "", None, six, six.upper(), six + " so", " ".join(WORDS), "  "]
+    df = files(spark, [(k, "r", "/p", None, t, None) for k, t in enumerate(texts)])
+    monkeypatch.setattr(queries, "_files", lambda spark, d: df)
+    got = {r.file_id: r.group_id for r in queries.p1_groups(spark, "").collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 8: 8, 9: 8, 10: 10, 11: 11, 12: 12}
+
+
 def test_packing(spark):
     sizes = [5, 5, 4, 3, 3, 2, 2, 2, 1, 1, 0, None, 23, 10, 10]
     df = spark.createDataFrame([(k, s, "w") for k, s in enumerate(sizes)], "doc_id long, size int, window string")
