@@ -176,12 +176,13 @@ class Parser:
             if not k:
                 self.deep -= 1
                 self.fail(f"expected {end}")
-            start = self.i
+            start, deep = self.i, self.deep
             try:
                 one()
                 if self.i == start:
                     self.fail("unexpected token")
             except Bad as e:
+                self.deep = deep
                 self.note(e)
                 if not self.k[max(self.i, e.at)]:
                     self.i = len(self.t) - 6
@@ -192,10 +193,6 @@ class Parser:
                     self.i += 1
                 else:
                     self.recover(start)
-                if len(self.errors) > 200:
-                    self.i = len(self.t) - 6
-                    self.deep -= 1
-                    return
         self.deep -= 1
 
     def block(self, one=None):

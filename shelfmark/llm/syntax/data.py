@@ -52,14 +52,15 @@ class Json(Parser):
         if self.have(end):
             return
         while True:
-            start = self.i
+            start, deep = self.i, self.deep
             try:
                 one()
                 if self.k[self.i] not in (",", end):
                     self.fail(f"expected , or {end}")
             except Bad as e:
-                if not self.k[e.at] or len(self.errors) > 50:
+                if not self.k[e.at]:
                     raise
+                self.deep = deep
                 self.note(e)
                 i = max(self.i, start + 1)
                 while self.k[i] not in (",", end, ""):

@@ -121,7 +121,7 @@ class Ruby(Parser):
             k = self.k[self.i]
             if k in ends or not k or k in ("end", "}") or (k in ("else", "elsif", "when", "rescue", "ensure", "in") and ends):
                 break
-            start = self.i
+            start, deep = self.i, self.deep
             try:
                 self.statement()
                 if self.k[self.i] not in ("\n", ";", "") and self.k[self.i] not in ends:
@@ -129,9 +129,8 @@ class Ruby(Parser):
             except Bad as e:
                 if not self.k[e.at]:
                     raise
+                self.deep = deep
                 self.note(e)
-                if len(self.errors) > 100:
-                    break
                 self.recover(start)
         self.deep -= 1
         if ends and self.k[self.i] not in ends:
