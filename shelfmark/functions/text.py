@@ -5,6 +5,9 @@ All of them run in the JVM. Nulls give null (scalar functions) or an empty array
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 IDENTIFIER = r"([_a-zA-Z\u0080-￿]+[0-9]*)"
 TERM = r"([\p{L}\p{N}_]{2,})"
 WORD_TOKEN = r"([_a-zA-Z0-9]+)"
+# Fixed value: a capital that begins a piece of a camelCase word.
+CAMEL_START = r"((?<=[a-z])[A-Z]|(?<!^)[A-Z](?=[a-z]))"
 BLANKS = r"[\s\x0B\x1C-\x1F\u0085   -     　]+"
 
 # Language -> analyzer; in the second set a file's words count once.
@@ -52,6 +57,17 @@ def word_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD_TOKEN), F.lit(1)))
 
 
+def counted(words: Column) -> Column:
+    """(word, n) of an array of words, counted inside the row, so that no count crosses a shuffle."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda k: (k == 1) | (F.get(s, k - 1) != F.get(s, k - 2)))
+        return let(starts, lambda at: F.transform(at, lambda k, j: F.struct(F.get(s, k - 1).alias("word"), (F.coalesce(F.get(at, j + 1), F.size(s) + 1) - k).cast("long").alias("n"))))
+
+    none = F.array().cast("array<struct<word:string,n:bigint>>")
+    return let(F.sort_array(words), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
+
+
 def singular(w: Column) -> Column:
     """Case-sensitive plural stem: ies -> y, es and s dropped, with their exceptions."""
     n = F.length(w)
@@ -70,7 +86,7 @@ def let(value: Column, use) -> Column:
 def camel_pieces(w: Column) -> Column:
     """Pieces of a camelCase word; an empty array if there are not at least two."""
     none = F.array().cast("array<string>")
-    spaced = F.regexp_replace(w, r"((?<=[a-z])[A-Z]|(?<!^)[A-Z](?=[a-z]))", " $1")
+    spaced = F.regexp_replace(w, CAMEL_START, " $1")
     pieces = F.filter(F.split(F.regexp_replace(spaced, BLANKS, " "), " "), lambda x: x != "")
     return F.when(w.rlike("[A-Z]"), let(pieces, lambda p: F.when(F.size(p) > 1, p).otherwise(none))).otherwise(none)
 
@@ -101,12 +117,27 @@ def terms(tokens: Column) -> Column:
     return F.flatten(F.transform(tokens, lambda x: F.regexp_extract_all(x, F.lit(TERM), F.lit(1))))
 
 
-def strip_accents(c: Column) -> Column:
-    """Latin letters without their marks (the decomposition of Latin-1 and Latin Extended-A)."""
-    import unicodedata
+def strip_accents(c: Column, form: str = "unicode") -> Column:
+    """Text without its marks: compatibility decomposition (NFKD), then combining marks go.
+
+    ``form="ascii"`` also drops what is no ASCII character afterwards. The JVM has no such
+    function in SQL, so texts pass through one Arrow batch; ASCII texts come back as they are.
+    """
+    if form not in ("unicode", "ascii"):
+        raise ValueError("form is unicode or ascii")
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else without_marks(t, form))
+
+    return plain(c)
+
 
-    pairs = [(chr(k), unicodedata.normalize("NFKD", chr(k))[0]) for k in range(0xC0, 0x180) if unicodedata.normalize("NFKD", chr(k))[0].isascii() and unicodedata.normalize("NFKD", chr(k)) != chr(k)]
-    return F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+def without_marks(text: str, form: str = "unicode") -> str:
+    apart = unicodedata.normalize("NFKD", text)
+    if form == "ascii":
+        return apart.encode("ascii", "ignore").decode("ascii")
+    return "".join(x for x in apart if not unicodedata.combining(x))
 
 
 def _starts(size: Column, n: int) -> Column:

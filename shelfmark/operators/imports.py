@@ -78,12 +78,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def python_files(files: DataFrame) -> DataFrame:
-    """(repo_id, path, content) of Python files; of repeated paths the last row counts."""
+    """(repo_id, path, content) of Python files; of repeated paths the last row counts.
+
+    Which row that is comes from the keys alone; contents are only joined to it.
+    """
     f = files.where("language = 'Python'").withColumn("path", normal_path())
     if "idx" not in f.columns:
         return f.groupBy("repo_id", "path").agg(F.max_by("content", F.coalesce("content", F.lit(""))).alias("content"))
-    last = F.row_number().over(Window.partitionBy("repo_id", "path").orderBy(F.desc("idx")))
-    return f.withColumn("n", last).where("n = 1").select("repo_id", "path", "content")
+    last = f.groupBy("repo_id", "path").agg(F.max("idx").alias("idx"))
+    return f.join(last, ["repo_id", "path", "idx"], "left_semi").select("repo_id", "path", "content")
 
 
 def extracted(files: DataFrame) -> DataFrame:
@@ -93,9 +96,27 @@ def extracted(files: DataFrame) -> DataFrame:
 
 def import_rows(files: DataFrame) -> DataFrame:
     """imports(repo_id, seq, name, module, from_file, to_file): names whose module is a file here."""
-    found = extracted(files)
+    return resolved(extracted(files), files)
+
+
+def with_candidates(facts: DataFrame) -> DataFrame:
+    """Import facts (path, module, level, ...) with the files each may mean, as an expression.
+
+    Best first: beside the importer (``level - 1`` steps up), then from the root; ``P.py`` before
+    ``P/__init__.py``. Module paths are folded lexically.
+    """
+    parts = F.split("path", "/")
+    here = F.slice(parts, 1, F.greatest(F.lit(1), F.size(parts) - 1 - F.greatest(F.col("level") - 1, F.lit(0))))
+    rest = F.split(F.replace("module", F.lit("."), F.lit("/")), "/")
+    bases = F.array(F.array_join(F.filter(F.concat(here, rest), lambda x: x != ""), "/"), F.array_join(F.filter(rest, lambda x: x != ""), "/"))
+    files = F.flatten(F.transform(bases, lambda p: F.array(F.concat(F.lit("/"), p, F.lit(".py")), F.concat(F.lit("/"), p, F.when(p == "", "").otherwise("/"), F.lit("__init__.py")))))
+    return facts.withColumn("candidates", files)
+
+
+def resolved(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Import rows of facts (repo_id, path, pos, module, level, name, candidates) whose module is a file here."""
     tried = found.select("repo_id", F.col("path").alias("to_file"), "pos", "module", "level", "name", F.posexplode("candidates").alias("prio", "path"))
-    known = python_files(files).select("repo_id", "path")
+    known = files.where("language = 'Python'").select("repo_id", normal_path().alias("path")).distinct()
     hit = tried.join(known, ["repo_id", "path"]).groupBy("repo_id", "to_file", "pos", "module", "name").agg(F.min_by("path", "prio").alias("from_file"))
     seq = F.row_number().over(Window.partitionBy("repo_id").orderBy("to_file", "pos")).cast("long")
     return hit.select("repo_id", seq.alias("seq"), "name", "module", "from_file", "to_file")
@@ -126,7 +147,8 @@ def merged(imports: DataFrame) -> DataFrame:
 
 def propagated(imports: DataFrame, files: DataFrame, rounds: int = 3) -> DataFrame:
     """imports and what three rounds of looking through add; a name must occur in its new file."""
-    held = cut(tokens(python_files(files)))
+    wanted = imports.select("repo_id", F.col("from_file").alias("path")).distinct()
+    held = cut(tokens(python_files(files).join(wanted, ["repo_id", "path"], "left_semi")))
     now = imports
     for _ in range(rounds):
         more = one_round(now).join(held, ["repo_id", "from_file"]).where(F.array_contains("words", F.col("name"))).drop("words")
@@ -150,13 +172,17 @@ def backward(edges: DataFrame, decay: float = 0.25) -> DataFrame:
     return edges.where("language = 'Python'").select("repo_id", F.col("to_file").alias("from_file"), F.col("from_file").alias("to_file"), (F.col("weight") * decay).alias("weight"), "language")
 
 
+def without_self(edges: DataFrame) -> DataFrame:
+    return edges.where("from_file <> to_file")
+
+
 def siblings(edges: DataFrame, weight: float = 0.5) -> DataFrame:
     """Files that import from one file, in both directions; edges to a file itself do not count.
 
     Pairs of edges, not of files: repeated edges make repeated pairs. Unlike edges of one file
     are paired by position, so an edge never meets itself.
     """
-    e = edges.where("from_file <> to_file")
+    e = without_self(edges)
     e = e.withColumn("k", F.row_number().over(Window.partitionBy("repo_id", "from_file").orderBy("to_file", "weight")))
     a, b = e.alias("a"), e.alias("b")
     pair = a.join(b, (F.col("a.repo_id") == F.col("b.repo_id")) & (F.col("a.from_file") == F.col("b.from_file")) & (F.col("a.k") != F.col("b.k")))
@@ -185,8 +211,16 @@ def name_occurs(imports: DataFrame, files: DataFrame) -> DataFrame:
     return imports.join(held, ["repo_id", "from_file", "name"], "left_semi")
 
 
-def resolve_column(level: Column, directory: Column) -> Column:
-    """The directory ``level - 1`` steps up, as an expression."""
-    parts = F.split(directory, "/")
-    keep = F.greatest(F.lit(1), F.size(parts) - F.greatest(level - 1, F.lit(0)))
-    return F.array_join(F.slice(parts, 1, keep), "/")
+def hubs(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo_id, at, to, weights, back): one row for each file that others import, by position.
+
+    ``at`` is the file's own position (null if it is none of ``files``), ``to`` those of its
+    importers, ``back`` the weights that count in the other direction. From these rows a
+    repository's whole graph follows, so pairs of importers need no table.
+    """
+    first = files.groupBy("repo_id", "path").agg(F.min("idx").alias("k"))
+    j = edges.join(first.select("repo_id", F.col("path").alias("to_file"), F.col("k").alias("j")), ["repo_id", "to_file"])
+    own = F.struct("j", "weight", F.when(F.col("language") == "Python", F.col("weight")).otherwise(0.0).alias("back"))
+    rows = j.groupBy("repo_id", "from_file").agg(F.array_sort(F.collect_list(own)).alias("e"))
+    at = first.select("repo_id", F.col("path").alias("from_file"), F.col("k").alias("at"))
+    return rows.join(at, ["repo_id", "from_file"], "left").select("repo_id", "at", *[F.col(f"e.{c}").alias(n) for c, n in (("j", "to"), ("weight", "weights"), ("back", "back"))])

@@ -39,15 +39,23 @@ def stop_(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "stopwords")
 
 
-def whole_(files: DataFrame) -> DataFrame:
-    """Files of repositories that content analysis takes: no null content, more than two files."""
-    null = files.where("content is null").select("repo_id").distinct()
-    return files.where("n_files > 2").join(null, "repo_id", "left_anti")
+def plan_(spark: SparkSession, d: str, null_as_empty: bool = False) -> ordering.Ordering:
+    return ordering.Ordering(table(spark, d, "repo_files").select("file_id", "repo_id", "path", "language", "content"), stop_(spark, d), null_as_empty=null_as_empty)
 
 
-def tf_(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = whole_(files_(spark, d))
-    return bm25.term_counts(f, stop_(spark, d)), bm25.sizes(f)
+# Files of repositories that content analysis takes: no null content, more than two files.
+WHOLE = "n_files > 2 and not no_content"
+
+
+def counts_(spark: SparkSession, d: str, null_as_empty: bool = False) -> DataFrame:
+    p = plan_(spark, d, null_as_empty)
+    return bm25.counts(p.texts(WHOLE), p.stopwords)
+
+
+def tf_(spark: SparkSession, d: str, null_as_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Counts of terms and sizes of repositories."""
+    p = plan_(spark, d, null_as_empty)
+    return cut(bm25.counts(p.texts(WHOLE), p.stopwords)), p.conditions.where(WHOLE).select("repo_id", F.col("n_files").cast("long").alias("n"))
 
 
 FILES = """
@@ -78,6 +86,7 @@ tokens AS (SELECT word, unnest(list_concat(b, list_transform(b, lambda x: lower(
 terms AS (SELECT word, term, count(*) AS m FROM (SELECT word, unnest(regexp_extract_all(token, '[\p{L}\p{N}_]{2,}')) AS term FROM tokens) GROUP BY ALL),
 tf AS (SELECT repo_id, idx, term, sum(n * m)::BIGINT AS tf FROM kept JOIN terms USING (word) GROUP BY ALL)"""
 SRC = "src AS (SELECT * FROM files WHERE n_files > 2 AND repo_id NOT IN (SELECT repo_id FROM files WHERE content IS NULL))"
+EVERY = "src AS (SELECT * REPLACE (coalesce(content, '') AS content) FROM files WHERE n_files > 2)"
 TF = ",".join((FILES, SRC, STOP, WORDS, KEPT, PIECES, BAG)) + """,
 n AS (SELECT repo_id, count(*) AS n FROM src GROUP BY 1),
 df AS (SELECT repo_id, term, count(*) AS df FROM tf GROUP BY ALL),
@@ -91,6 +100,12 @@ w AS (SELECT repo_id, idx, term, t * idf / sqrt(sum(t * idf * t * idf) OVER (PAR
 SIM = TF + """,
 sim AS (SELECT q.repo_id, q.idx AS i, d.idx AS j, sum(d.w) AS s FROM w q JOIN w d USING (repo_id, term) GROUP BY ALL)"""
 
+
+def every(sql: str) -> str:
+    """The same with a null content as an empty one, so over all repositories of more than two files."""
+    return sql.replace(SRC, EVERY)
+
+
 # Preparation of files ------------------------------------------------------------------------
 
 
@@ -181,45 +196,54 @@ def retokenise(spark, d):
 
 @query(f"WITH {TF} SELECT repo_id, idx, term, tf FROM tf")
 def term_counts(spark, d):
-    return tf_(spark, d)[0]
+    return counts_(spark, d).select("repo_id", "idx", "term", "tf")
+
+
+@query(every(f"WITH {TF} SELECT repo_id, idx, term, tf FROM tf"))
+def term_counts_all(spark, d):
+    """Null contents as empty ones: no repository is left out, the largest least of all."""
+    return counts_(spark, d, True).select("repo_id", "idx", "term", "tf")
 
 
 @query(f"WITH {TF} SELECT repo_id, term, df FROM df")
 def doc_freq(spark, d):
-    return bm25.document_frequency(tf_(spark, d)[0])
+    return bm25.document_frequency(counts_(spark, d))
 
 
 @query(f"WITH {TF} SELECT repo_id, idx, term, tf FROM pruned")
 def vocab_prune(spark, d):
-    return bm25.pruned(*tf_(spark, d)).select("repo_id", "idx", "term", "tf")
+    return bm25.pruned(tf_(spark, d)[0]).select("repo_id", "idx", "term", "tf")
 
 
 @query(f"WITH {TF} SELECT repo_id, idx, len::BIGINT AS len FROM len")
 def doc_length(spark, d):
-    return bm25.pruned(*tf_(spark, d)).groupBy("repo_id", "idx").agg(F.sum("tf").alias("len"))
+    return bm25.pruned(tf_(spark, d)[0]).groupBy("repo_id", "idx").agg(F.sum("tf").alias("len"))
 
 
 @query(f"WITH {TF} SELECT repo_id, round(avg, 6) AS avg_len FROM avg_")
 def avg_length(spark, d):
-    return bm25.pruned(*tf_(spark, d)).groupBy("repo_id").agg(F.round(F.sum("tf") / F.max("n"), 6).alias("avg_len"))
+    return bm25.mean_length(bm25.vocabulary(counts_(spark, d))).select("repo_id", F.round("avg", 6).alias("avg_len"))
+
+
+def _pruned(spark, d):
+    """Pruned counts and sizes; the sizes may also come from a table of their own."""
+    tf, n = tf_(spark, d)
+    return bm25.pruned(tf.drop("n_files"), n).select("repo_id", "idx", "term", "tf"), n
 
 
 @query(f"WITH {TF} SELECT repo_id, term, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM vocab")
 def idf(spark, d):
-    tf, n = tf_(spark, d)
-    m = bm25.BM25Model().fit(bm25.pruned(tf, n).select("repo_id", "idx", "term", "tf"), n)
-    return m.idf_.select("repo_id", "term", F.round("idf", 6).alias("idf"))
+    return bm25.BM25Model().fit(*_pruned(spark, d)).idf_.select("repo_id", "term", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {TF} SELECT repo_id, term, round(ln(1 + (n + 1 - (df + 1) + 0.5::DOUBLE) / (df + 1 + 0.5::DOUBLE)), 6) AS idf FROM vocab")
 def idf_smooth(spark, d):
-    tf, n = tf_(spark, d)
-    return bm25.BM25Model(smooth_idf=True).fit(bm25.pruned(tf, n).select("repo_id", "idx", "term", "tf"), n).idf_.select("repo_id", "term", F.round("idf", 6).alias("idf"))
+    return bm25.BM25Model(smooth_idf=True).fit(*_pruned(spark, d)).idf_.select("repo_id", "term", F.round("idf", 6).alias("idf"))
 
 
 def _weights(spark, d, **options):
-    tf, n = tf_(spark, d)
-    counts = cut(bm25.pruned(tf, n).select("repo_id", "idx", "term", "tf"))
+    counts, n = _pruned(spark, d)
+    counts = cut(counts)
     w = bm25.BM25Model(**options).fit(counts, n).transform(counts, n)
     return w.select("repo_id", "idx", "term", F.round("w", 6).alias("w"))
 
@@ -239,14 +263,21 @@ def norm_l1(spark, d):
     return _weights(spark, d, norm="l1")
 
 
-@query(f"WITH {TF} SELECT repo_id, idx, term, round(w, 6) AS w FROM w")
+NORM_L2 = f"WITH {TF} SELECT repo_id, idx, term, round(w, 6) AS w FROM w"
+
+
+@query(NORM_L2)
 def norm_l2(spark, d):
-    tf, n = tf_(spark, d)
-    return bm25.bm25_weights(tf, n).select("repo_id", "idx", "term", F.round("w", 6).alias("w"))
+    return bm25.bm25_weights(tf_(spark, d)[0]).select("repo_id", "idx", "term", F.round("w", 6).alias("w"))
+
 
+@query(every(NORM_L2))
+def norm_l2_all(spark, d):
+    return bm25.bm25_weights(tf_(spark, d, True)[0]).select("repo_id", "idx", "term", F.round("w", 6).alias("w"))
 
-def _sim(spark, d):
-    return bm25.pair_similarity(cut(bm25.bm25_weights(*tf_(spark, d))))
+
+def _sim(spark, d, null_as_empty=False):
+    return bm25.pair_similarity(cut(bm25.bm25_weights(tf_(spark, d, null_as_empty)[0])))
 
 
 @query(f"WITH {SIM} SELECT repo_id, i, j, round(s, 6) AS s FROM sim")
@@ -254,6 +285,11 @@ def pair_similarity(spark, d):
     return _sim(spark, d).select("repo_id", "i", "j", F.round("s", 6).alias("s"))
 
 
+@query(every(f"WITH {SIM} SELECT repo_id, i, j, round(s, 6) AS s FROM sim"))
+def pair_similarity_all(spark, d):
+    return _sim(spark, d, True).select("repo_id", "i", "j", F.round("s", 6).alias("s"))
+
+
 SCALE = """
 nn AS (SELECT repo_id, max(n) AS n, max(s) AS top, count(s) AS nnz FROM n LEFT JOIN sim USING (repo_id) GROUP BY 1),
 padded AS (SELECT repo_id, s FROM sim UNION ALL SELECT repo_id, 0::DOUBLE FROM nn, unnest(range(0, (n * n - nnz)::BIGINT)) t(k)),
@@ -261,10 +297,21 @@ p95 AS (SELECT repo_id, quantile_cont(s, 0.95) AS p FROM padded GROUP BY 1),
 scale AS (SELECT repo_id, greatest(0.01::DOUBLE, coalesce(CASE WHEN n < 10 THEN top ELSE p END, 0.01::DOUBLE)) AS scale FROM nn LEFT JOIN p95 USING (repo_id))"""
 
 
+def _scaled(spark, d, null_as_empty=False):
+    """S and its scale."""
+    tf, n = tf_(spark, d, null_as_empty)
+    sim = cut(bm25.pair_similarity(cut(bm25.bm25_weights(tf))))
+    return sim, combine.boost_scale(sim, n)
+
+
 @query(f"WITH {SIM}, {SCALE} SELECT repo_id, round(scale, 6) AS scale FROM scale")
 def boost_scale(spark, d):
-    sim, (_, n) = cut(_sim(spark, d)), tf_(spark, d)
-    return combine.boost_scale(sim, n).select("repo_id", F.round("scale", 6).alias("scale"))
+    return _scaled(spark, d)[1].select("repo_id", F.round("scale", 6).alias("scale"))
+
+
+@query(every(f"WITH {SIM}, {SCALE} SELECT repo_id, round(scale, 6) AS scale FROM scale"))
+def boost_scale_all(spark, d):
+    return _scaled(spark, d, True)[1].select("repo_id", F.round("scale", 6).alias("scale"))
 
 
 AUG = """
@@ -283,8 +330,8 @@ def _graph(spark, d):
 
 @query(f"WITH {SIM}, {SCALE}, {AUG}, {GRAPH} SELECT repo_id, i, j, round(sum(s), 6) AS s FROM (SELECT * FROM sim UNION ALL SELECT repo_id, i, j, g * scale FROM graph JOIN scale USING (repo_id)) WHERE i <> j GROUP BY ALL")
 def boosted_similarity(spark, d):
-    sim, (_, n) = cut(_sim(spark, d)), tf_(spark, d)
-    b = combine.boosted(sim, _graph(spark, d), combine.boost_scale(sim, n))
+    sim, scale = _scaled(spark, d)
+    b = combine.boosted(sim, _graph(spark, d), scale)
     return b.select("repo_id", "i", "j", F.round("s", 6).alias("s"))
 
 
@@ -301,9 +348,27 @@ def import_extract(spark, d):
     return imports.extracted(files_(spark, d)).select("repo_id", "path", "pos", "module", "level", "name")
 
 
-@query()
+RESOLVE = f"""WITH {FILES}, f AS (SELECT *, regexp_replace(to_file, '/[^/]*$', '') AS dir, replace(module, '.', '/') AS rest FROM imports),
+c AS (SELECT *, unnest(['/' || ltrim(dir || '/' || rest, '/') || '.py', '/' || ltrim(dir || '/' || rest, '/') || '/__init__.py', '/' || rest || '.py', '/' || rest || '/__init__.py']) AS path, unnest([0, 1, 2, 3]) AS prio FROM f),
+known AS (SELECT DISTINCT repo_id, path FROM files WHERE language = 'Python'),
+hit AS (SELECT repo_id, to_file, seq AS pos, module, name, min_by(path, prio) AS found FROM c JOIN known USING (repo_id, path) GROUP BY ALL)"""
+
+
+def _resolved(spark, d):
+    facts = table(spark, d, "imports").select("repo_id", F.col("to_file").alias("path"), F.col("seq").cast("int").alias("pos"), "module", F.lit(0).alias("level"), "name")
+    return imports.resolved(imports.with_candidates(facts).distinct(), files_(spark, d))
+
+
+@query(f"{RESOLVE} SELECT DISTINCT repo_id, to_file, module, found AS from_file FROM hit")
 def module_resolve(spark, d):
-    return imports.import_rows(files_(spark, d)).select("repo_id", "to_file", "module", "from_file").distinct()
+    """The file that each module of the import facts means, looked up among the files."""
+    return _resolved(spark, d).select("repo_id", "to_file", "module", "from_file").distinct()
+
+
+@query(f"{RESOLVE} SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY to_file, pos) AS seq, name, module, found AS from_file, to_file FROM hit")
+def resolved_rows(spark, d):
+    """Import rows from the import facts, numbered in file order."""
+    return _resolved(spark, d)
 
 
 @query()
@@ -332,13 +397,35 @@ def name_occurs(spark, d):
     return imports.name_occurs(i, files_(spark, d)).select(*i.columns)
 
 
-@query()
+def _rounds(n: int) -> str:
+    out = ["r0 AS (SELECT DISTINCT repo_id, seq, name, module, from_file, to_file FROM imports)"]
+    for k in range(n):
+        out.append(f"""own{k} AS (SELECT repo_id, name, to_file AS from_file, max_by(from_file, seq) AS deeper FROM r{k} GROUP BY ALL),
+top{k} AS (SELECT repo_id, max(seq) AS top FROM r{k} GROUP BY ALL),
+more{k} AS (SELECT i.repo_id, top + i.seq AS seq, i.name, i.module, coalesce(o.deeper, s.deeper) AS from_file, i.to_file FROM r{k} i JOIN top{k} t ON t.repo_id = i.repo_id
+ LEFT JOIN own{k} o ON o.repo_id = i.repo_id AND o.name = i.name AND o.from_file = i.from_file LEFT JOIN own{k} s ON s.repo_id = i.repo_id AND s.from_file = i.from_file AND s.name = '*'),
+held{k} AS (SELECT m.* FROM more{k} m JOIN tok t ON t.repo_id = m.repo_id AND t.path = m.from_file AND t.name = m.name WHERE m.from_file <> m.to_file),
+r{k + 1} AS (SELECT repo_id, max(seq) AS seq, name, max_by(module, seq) AS module, from_file, to_file FROM (SELECT * FROM r{k} UNION ALL SELECT * FROM held{k}) GROUP BY repo_id, name, from_file, to_file)""")
+    return ",\n".join(out)
+
+
+@query(
+    f"""WITH {FILES}, last AS (SELECT repo_id, path, max_by(content, idx) FILTER (content IS NOT NULL) AS c, max(idx) AS k FROM files WHERE language = 'Python' GROUP BY ALL),
+tok AS (SELECT DISTINCT f.repo_id, f.path, unnest(regexp_extract_all(content, '[_a-zA-Z0-9]+')) AS name FROM files f JOIN last l ON l.repo_id = f.repo_id AND l.k = f.idx),
+{_rounds(3)} SELECT * FROM r3"""
+)
 def propagate_names(spark, d):
     return imports.propagated(table(spark, d, "imports"), files_(spark, d))
 
 
-@query("SELECT DISTINCT repo_id, from_file, to_file, 1::DOUBLE AS weight, 'Python' AS language FROM imports")
+@query()
 def import_edges(spark, d):
+    """From the files themselves: syntax, resolution, three rounds of names, edges."""
+    return imports.import_edges(files_(spark, d))
+
+
+@query("SELECT DISTINCT repo_id, from_file, to_file, 1::DOUBLE AS weight, 'Python' AS language FROM imports")
+def edge_emit(spark, d):
     return imports.edges_of(table(spark, d, "imports"))
 
 
@@ -354,7 +441,7 @@ def sibling_edges(spark, d):
 
 @query("SELECT * FROM edges WHERE from_file <> to_file")
 def drop_self_edges(spark, d):
-    return table(spark, d, "edges").where("from_file <> to_file")
+    return imports.without_self(table(spark, d, "edges"))
 
 
 @query(f"WITH {AUG} SELECT repo_id, from_file, to_file, weight FROM aug")
@@ -376,7 +463,7 @@ def word_token_sets(spark, d):
 
 
 def _ordered(spark, d):
-    return ordering.order_files(table(spark, d, "repo_files").select("file_id", "repo_id", "path", "language", "content"), stop_(spark, d))
+    return plan_(spark, d).result()
 
 
 @query()
@@ -398,8 +485,27 @@ SELECT o.repo_id, o.idx AS pos, round(coalesce(s, 0), 6) AS matching_score FROM
 )
 def matching_scores(spark, d):
     """Scores of the path order."""
-    f = whole_(files_(spark, d)).select("repo_id", F.col("idx").alias("pos"), "idx")
-    return metrics.matching_scores(f, _sim(spark, d)).select("repo_id", "pos", F.round("matching_score", 6).alias("matching_score"))
+    p = plan_(spark, d)
+    sim = bm25.pair_similarity(cut(bm25.bm25_weights(cut(bm25.counts(p.texts(WHOLE), p.stopwords)))))
+    f = p.some(WHOLE).select("repo_id", F.col("idx").alias("pos"), "idx")
+    return metrics.matching_scores(f, sim).select("repo_id", "pos", F.round("matching_score", 6).alias("matching_score"))
+
+
+@query(
+    f"""WITH {TF}, l AS (SELECT repo_id, count(*) AS n_files, max((content IS NULL)::INT) AS nc, max((content IS NULL AND language = 'Python')::INT) AS p, max((language IS NULL)::INT) AS ln, max((language IS NOT NULL)::INT) AS lo FROM files GROUP BY 1),
+g AS (SELECT *, coalesce(p, 0) = 1 OR (ln = 1 AND lo = 1) AS no_graph, n_files = 2 OR repo_id IN (SELECT repo_id FROM vocab) AS has_s FROM l)
+SELECT repo_id, n_files, CASE WHEN n_files = 1 OR n_files > 10000 THEN 'lexicographic_size' WHEN NOT has_s AND no_graph THEN 'lexicographic_error' WHEN n_files = 2 THEN 'pair'
+ WHEN NOT has_s THEN 'ordered_static_only' WHEN no_graph THEN 'ordered_content_only' ELSE 'ordered' END AS status FROM g"""
+)
+def order_statuses(spark, d):
+    """What became of each repository."""
+    return _ordered(spark, d).groupBy("repo_id", "status").agg(F.count("*").alias("n_files"))
+
+
+@query()
+def order_metrics(spark, d):
+    """Connections found on the way, and how well the orders follow them."""
+    return plan_(spark, d).metrics()
 
 
 @query("SELECT repo_id, round(median(matching_score), 6) AS coherence_score FROM ordered GROUP BY 1")
@@ -449,9 +555,14 @@ def two_file_shortcut(spark, d):
     return _ordered(spark, d).where("status = 'pair'").select("repo_id", "idx", "status")
 
 
-@query()
+@query(
+    f"""WITH {TF}, l AS (SELECT repo_id, count(*) AS n_files, max((content IS NULL AND language = 'Python')::INT) AS p, max((language IS NULL)::INT) AS ln, max((language IS NOT NULL)::INT) AS lo FROM files GROUP BY 1)
+SELECT repo_id, n_files, n_files AS n_pos, 0::BIGINT AS n_scores FROM l WHERE n_files > 2 AND n_files <= 10000 AND repo_id NOT IN (SELECT repo_id FROM vocab) AND NOT (coalesce(p, 0) = 1 OR (ln = 1 AND lo = 1))"""
+)
 def static_only_fallback(spark, d):
-    return _ordered(spark, d).where("status = 'ordered_static_only'").select("repo_id", "pos", "idx", "path", "matching_score")
+    """Repositories without similarity: ordered by connections alone, without scores."""
+    o = _ordered(spark, d).where("status = 'ordered_static_only'")
+    return o.groupBy("repo_id").agg(F.count("*").alias("n_files"), F.countDistinct("pos").alias("n_pos"), F.count("matching_score").alias("n_scores"))
 
 
 @query("SELECT repo_id, count(*) AS n_files FROM repo_files GROUP BY 1 HAVING bool_or(language = 'Python') AND count(*) > 10")
@@ -467,9 +578,15 @@ def flatten_files(spark, d):
     return flat(nested(table(spark, d, "repo_files").select("repo_id", "path", "language", "content"))).select("repo_id", "path", "language", F.md5("content").alias("digest"))
 
 
-@query()
+@query(
+    """WITH f AS (SELECT *, row_number() OVER (ORDER BY file_id) - 1 AS k FROM repo_files), n AS (SELECT count(*) AS n FROM repo_files)
+SELECT f.file_id, repo_id, path FROM (SELECT (((r + 7) * 48271 % 2147483647) * 69621 % 2147483647) % n AS k FROM range(1, 1001) t(r), n) JOIN f USING (k)"""
+)
 def sample_files(spark, d):
-    return table(spark, d, "repo_files").sample(withReplacement=True, fraction=0.5, seed=7).select("file_id", "repo_id", "path")
+    """A thousand files with replacement; the size is the feature."""
+    from shelfmark.sources.files import sample
+
+    return sample(table(spark, d, "repo_files").select("file_id", "repo_id", "path"), 1000, "file_id", seed=7)
 
 
 # Vectorizer options over documents -----------------------------------------------------------------
@@ -520,10 +637,38 @@ def df_fraction_cutoffs(spark, d):
     return bm25.Vectorizer(min_df=2, max_df=0.5).counts(_docs(spark, d)).select(OUT)
 
 
-@query("SELECT doc_id, strip_accents(text) AS text FROM documents WHERE regexp_full_match(text, '[\\x00-\\x{17F}]*')")
+@query()
 def strip_accents(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-ſ]*$"))
-    return docs.select("doc_id", X.strip_accents(F.col("text")).alias("text"))
+    """Decomposed by compatibility, which DuckDB's function of this name is not."""
+    return table(spark, d, "documents").select("doc_id", X.strip_accents(F.col("text")).alias("text"))
+
+
+VW = f"""{DTF}, dlen AS (SELECT repo_id, idx, sum(tf) AS len FROM dtf GROUP BY ALL), davg AS (SELECT repo_id, sum(len) / max(n)::DOUBLE AS avg FROM dlen JOIN dn USING (repo_id) GROUP BY 1),
+draw AS (SELECT t.repo_id, idx, t.term, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg)) * ln(1 + (n - df + 0.5::DOUBLE) / (df + 1.5::DOUBLE)) AS w
+ FROM dtf t JOIN dlen USING (repo_id, idx) JOIN davg USING (repo_id) JOIN ddf USING (repo_id, term) JOIN dn USING (repo_id))"""
+
+
+@query(f"WITH {VW} SELECT repo_id, idx, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY repo_id, idx)), 6) AS w FROM draw")
+def vectorizer_weights(spark, d):
+    return bm25.Vectorizer().fit_transform(_docs(spark, d)).select("repo_id", "idx", "term", F.round("w", 6).alias("w"))
+
+
+FREE = r"""
+dt AS (SELECT coalesce(repo_id, '') AS g, doc_id AS idx, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
+tf AS (SELECT g, idx, term, count(*) AS tf FROM dt GROUP BY ALL),
+n AS (SELECT coalesce(repo_id, '') AS g, count(*) AS n FROM documents GROUP BY 1),
+vocab AS (SELECT g, term, df, n FROM (SELECT g, term, count(*) AS df FROM tf GROUP BY ALL) JOIN n USING (g) WHERE df >= 2 AND df <= greatest(n - 1, 3)),
+p AS (SELECT g, idx, term, tf, df, n FROM tf JOIN vocab USING (g, term)),
+l AS (SELECT g, idx, sum(tf) AS len FROM p GROUP BY ALL), a AS (SELECT g, sum(len) / max(n)::DOUBLE AS avg FROM l JOIN n USING (g) GROUP BY 1),
+x AS (SELECT p.g, idx, term, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg)) * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS w FROM p JOIN l USING (g, idx) JOIN a ON a.g = p.g),
+w AS (SELECT g, idx, term, w / sqrt(sum(w * w) OVER (PARTITION BY g, idx)) AS w FROM x)"""
+
+
+@query(f"WITH {FREE} SELECT q.g AS group_id, q.idx AS a, v.idx AS b, round(sum(v.w), 6) AS s FROM w q JOIN w v USING (g, term) GROUP BY ALL")
+def free_similarity(spark, d):
+    """Similarity of free texts, within their repository."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.coalesce("repo_id", F.lit("")).alias("g"))
+    return bm25.bm25_similarity(docs, "doc_id", "text", "g").withColumn("s", F.round("s", 6))
 
 
 @query(f"WITH {DTF} SELECT repo_id, idx, term, tf FROM dtf WHERE term IN (SELECT DISTINCT lower(trim(word)) FROM stopwords)")

@@ -26,15 +26,18 @@ def local_session(cpus: int | str = "*", app: str = "shelfmark") -> SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by all executors (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, a folder of this machine is set.
+    Only a local session that names none, as in tests, gets a folder of this machine; on a
+    cluster that is an error. Files of a checkpoint go when nothing refers to it any more.
     """
     sc = spark.sparkContext
+    jsc = sc._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
+    if jsc.getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='shelfmark-')}")
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get()
+        jsc.conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    return jsc.getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
