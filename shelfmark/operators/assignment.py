@@ -43,8 +43,8 @@ def assign(cost: np.ndarray) -> np.ndarray:
     """Column of each row in a perfect assignment of least cost; ``inf`` forbids a pair.
 
     Dual variables keep reduced costs non-negative; each row is added along a shortest
-    alternating path. Among equal paths the smallest column is taken, so results are
-    deterministic. ``cost`` is only read, one row at a time, and never copied. Raises ValueError
+    alternating path. Among equal distances a free column comes first, then the smallest, so results
+    are deterministic. ``cost`` is only read, one row at a time, and never copied. Raises ValueError
     if there is no assignment.
     """
     n = cost.shape[0]
@@ -64,6 +64,7 @@ def assign(cost: np.ndarray) -> np.ndarray:
         u[i] = (cost[i] - v).min()
     if not np.isfinite(u).all():
         raise ValueError("a row has no allowed column")
+    free = np.flatnonzero(row_of < 0)
     for start in np.flatnonzero(col_of < 0):
         dist = np.full(n, np.inf)
         open_ = np.full(n, np.inf)  # dist of the columns that are not done
@@ -80,6 +81,9 @@ def assign(cost: np.ndarray) -> np.ndarray:
             before[closer] = i
             j = int(open_.argmin())
             so_far = open_[j]
+            k = int(free[open_[free].argmin()])
+            if open_[k] == so_far:
+                j = k  # as near, and the path ends there
             if not np.isfinite(so_far):
                 raise ValueError("no perfect assignment")
             done[j] = True
@@ -94,6 +98,7 @@ def assign(cost: np.ndarray) -> np.ndarray:
         if len(cols):
             u[row_of[cols]] += so_far - dist[cols]
             v[cols] -= so_far - dist[cols]
+        free = free[free != end]
         j = end
         while True:
             i = before[j]

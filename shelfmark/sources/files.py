@@ -106,9 +106,10 @@ def keyed(files: DataFrame, tie: str | None = None) -> tuple[DataFrame, list[str
 
 def with_keys(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
     """Rows with the further columns of ``keys``; an equi-join on keys that are even, whatever the
-    sizes of repositories."""
+    sizes of repositories. Rows meet a hash table of their share of the keys, so contents are
+    neither sorted nor, where a table lies in few splits, left to as few tasks."""
     more = [c for c in keys.columns if c not in by and c not in rows.columns]
-    k = keys.select(*[F.col(c).alias(f"k_{c}") for c in by], *more)
+    k = keys.select(*[F.col(c).alias(f"k_{c}") for c in by], *more).hint("shuffle_hash")
     joined = rows.join(k, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in by] if len(by) > 1 else F.col(by[0]) == F.col(f"k_{by[0]}"))
     return joined.select(*rows.columns, *more)
 
