@@ -425,9 +425,6 @@ def documented(files: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sys
-
-        sys.setrecursionlimit(6000)
         for batch in batches:
             rows = []
             for i, x, t in zip(*(batch.column(k).to_pylist() for k in range(3))):

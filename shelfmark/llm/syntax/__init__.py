@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import language_column
-from shelfmark.llm.syntax.base import Parser
+from shelfmark.llm.syntax.base import FRAMES, Parser, TooDeep
 from shelfmark.llm.syntax.braces import C, CSharp, Go, Java
 from shelfmark.llm.syntax.data import Json
 from shelfmark.llm.syntax.indent import Python
@@ -25,10 +26,11 @@ PARSERS: dict[str, type[Parser]] = {p.NAME: p for p in (Python, JavaScript, Type
 CHECKED = tuple(PARSERS)
 
 
-def errors_of(language: str, text: str) -> list[tuple[int, str]]:
+def errors_of(language: str, text: str) -> list[tuple[int, str]] | None:
     """Errors (line, message) of a text in file order, the first cause first; empty if it is valid.
 
-    Blank text has no errors (it is no case); a language without a parser accepts everything.
+    None if there is no verdict: the text nests more than ``DEEPEST`` levels deep. Blank text has
+    no errors (it is no case); a language without a parser accepts everything.
     """
     parser = PARSERS.get(language)
     if parser is None or not text or not text.strip():
@@ -36,10 +38,12 @@ def errors_of(language: str, text: str) -> list[tuple[int, str]]:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     text = text.removeprefix("﻿")
+    if sys.getrecursionlimit() < FRAMES:
+        sys.setrecursionlimit(FRAMES)
     try:
         return parser(text).run()
-    except (RecursionError, IndexError):
-        return []  # too deep to tell
+    except (TooDeep, RecursionError):
+        return None
 
 
 SCHEMA = "file_id long, language string, n_errors int, first_line int, first_cause string, errors array<string>"
@@ -48,23 +52,21 @@ SCHEMA = "file_id long, language string, n_errors int, first_line int, first_cau
 def verdicts(files: DataFrame) -> DataFrame:
     """(file_id, language, n_errors, first_line, first_cause, errors) of rows in a checked language.
 
-    Null or blank content and other languages do not come out. Rows with the same language and
+    Null or blank content and other languages do not come out. A text without a verdict has a
+    null ``n_errors``. Rows with the same language and
     content are each read; a row is never split, and only its own task sees it. Columns other
     than file_id, content, language and path are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sys
-
-        sys.setrecursionlimit(6000)
         for batch in batches:
             ids, langs, texts = (batch.column(k).to_pylist() for k in range(3))
             found = [errors_of(x, t) for x, t in zip(langs, texts)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array([len(e) for e in found], pa.int32()),
+                    pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array([None if e is None else len(e) for e in found], pa.int32()),
                     pa.array([e[0][0] if e else None for e in found], pa.int32()), pa.array([cause(e[0][1]) if e else None for e in found], pa.string()),
-                    pa.array([[f"{n}: {why}" for n, why in e] for e in found], pa.list_(pa.string())),
+                    pa.array([[f"{n}: {why}" for n, why in e or ()] for e in found], pa.list_(pa.string())),
                 ],
                 names=["file_id", "language", "n_errors", "first_line", "first_cause", "errors"],
             )
@@ -84,10 +86,10 @@ def invalid(files: DataFrame) -> DataFrame:
 
 
 def rates(files: DataFrame) -> DataFrame:
-    """Files, invalid files and acceptance per repository and language."""
+    """Files, invalid ones, those without a verdict, and acceptance of the others, per repository and language."""
     v = verdicts(files).select("file_id", F.col("language").alias("lang"), "n_errors")
     joined = files.select("file_id", "repo_id").join(v, "file_id")
     return joined.groupBy("repo_id", "lang").agg(
-        F.count("*").alias("files"), F.sum((F.col("n_errors") > 0).cast("long")).alias("invalid"),
+        F.count("*").alias("files"), F.count(F.when(F.col("n_errors") > 0, 1)).alias("invalid"), F.count(F.when(F.col("n_errors").isNull(), 1)).alias("unknown"),
         F.round(F.avg((F.col("n_errors") == 0).cast("double")), 6).alias("accepted"),
     )

@@ -12,6 +12,16 @@ from __future__ import annotations
 import re
 
 
+# Nested statements and expressions that are read; what lies deeper has no verdict.
+DEEPEST = 5000
+# Frames of the interpreter for that depth; they lie on the heap.
+FRAMES = 60 * DEEPEST
+
+
+class TooDeep(Exception):
+    """A text that nests too deep to be read."""
+
+
 class Bad(Exception):
     def __init__(self, at: int, why: str):
         super().__init__(why)
@@ -167,8 +177,8 @@ class Parser:
         """Statements up to ``end``; errors inside are noted and skipped."""
         one = one or self.statement
         self.deep += 1
-        if self.deep > 180:
-            raise RecursionError
+        if self.deep > DEEPEST:
+            raise TooDeep
         while True:
             k = self.k[self.i]
             if k == end:
@@ -202,13 +212,11 @@ class Parser:
             self.fail("expected }")
 
     def run(self) -> list[tuple[int, str]]:
-        """All errors as (line, message), the first cause first."""
+        """All errors as (line, message), the first cause first; TooDeep for a text without a verdict."""
         try:
             self.file()
         except Bad as e:
             self.note(e)
-        except RecursionError:
-            pass
         return [(self.line(at), why) for at, why in sorted(self.errors)]
 
     def file(self):
@@ -222,8 +230,8 @@ class Parser:
     def expr(self, least: int = 0):
         k = self.k
         self.deep += 1
-        if self.deep > 220:
-            raise RecursionError
+        if self.deep > DEEPEST:
+            raise TooDeep
         self.unary()
         while True:
             op = k[self.i]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from shelfmark.llm.syntax.base import Bad, Kinds, Parser
+from shelfmark.llm.syntax.base import DEEPEST, Bad, Kinds, Parser, TooDeep
 
 STRING = r'"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[\da-fA-F]{4})*"'
 
@@ -27,8 +27,8 @@ class Json(Parser):
     def value(self):
         k = self.k[self.i]
         self.deep += 1
-        if self.deep > 400:
-            raise RecursionError
+        if self.deep > 4 * DEEPEST:
+            raise TooDeep
         if k == "{":
             self.i += 1
             self.members("}", self.pair)
@@ -79,6 +79,6 @@ class Json(Parser):
             json.loads(self.src.lstrip("﻿"), parse_constant=_no_constant)
             return []
         except RecursionError:
-            return []
+            return super().run()
         except ValueError as e:
             return super().run() or [(1, f"grammar: {e}")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from shelfmark.llm.syntax.base import Kinds, Parser, levels, lexer
+from shelfmark.llm.syntax.base import Bad, DEEPEST, Kinds, levels, lexer, Parser, TooDeep
 
 STRING = r'"(?:[^"\\#]|\\[\s\S]|#(?!\{)|#\{(?:[^{}"]|"(?:[^"\\]|\\.)*"|\{[^{}]*\})*\})*"|' + r"'(?:[^'\\]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`"
 PERCENT = r"%[wWiIqQrsx]?(?:\((?:[^()\\]|\\.|\([^()]*\))*\)|\[(?:[^\[\]\\]|\\.)*\]|\{(?:[^{}\\]|\\.|\{[^{}]*\})*\}|<[^<>]*>|(?<=[wWiIqQrsx])([|!/])[^|!/\n]*[|!/])[a-z]*"
@@ -111,11 +111,9 @@ class Ruby(Parser):
 
     def body(self, ends):
         """Statements up to one of ``ends``, which is left to the caller."""
-        from shelfmark.llm.syntax.base import Bad
-
         self.deep += 1
-        if self.deep > 150:
-            raise RecursionError
+        if self.deep > DEEPEST:
+            raise TooDeep
         while True:
             self.skip()
             k = self.k[self.i]

@@ -80,14 +80,11 @@ def _shape(tail: Column) -> Column:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """file_id, and whether the parser meets an error where the text ends."""
-    import sys
-
-    sys.setrecursionlimit(6000)
     for batch in batches:
         ids, langs, texts = (batch.column(k).to_pylist() for k in range(3))
         out = []
         for x, t in zip(langs, texts):
-            found = errors_of(x, t)
+            found = errors_of(x, t) or []
             last = t.rstrip().count("\n") + 1
             sentence = t.rstrip().endswith((".", "!", "?")) and not t.rstrip().endswith("...")
             out.append(bool(found) and (any("unexpected end" in why for _, why in found) or not sentence and (found[0][0] >= last - 1 or found[-1][0] >= last)))

@@ -44,6 +44,23 @@ def test_all_errors_first_cause_first():
 
 def test_blank_unknown_and_long():
     assert errors_of("python", " \n") == errors_of("cobol", "x x x") == []
-    # too deep to tell: no verdict rather than a wrong one
-    assert errors_of("json", "[" * 5000 + "]" * 5000) == errors_of("javascript", "f(" * 400 + ")" * 400) == []
     assert errors_of("python", "x = 1\n" * 20_000) == []
+
+
+@pytest.mark.parametrize(
+    "language,text",
+    [("javascript", "x = " + "(" * 300 + "1" + ")" * 300 + ";\nvar ) = ;\n"), ("c", "int f(void) " + "{" * 400 + "x = ;" + "}" * 400), ("json", "[" * 5000 + "]" * 4999), ("java", "class A { void f() " + "{" * 300 + "}" * 300 + " int ) }")],
+)
+def test_errors_behind_deep_nesting(language, text):
+    assert errors_of(language, text)
+
+
+def test_too_deep_is_no_verdict(spark):
+    from shelfmark.llm.syntax import rates, verdicts
+
+    deep = "x = " + "(" * 20_000 + "1" + ")" * 20_000 + ";\nvar ) = ;\n"
+    assert errors_of("javascript", "f(" * 400 + ")" * 400) == errors_of("json", "[" * 5000 + "]" * 5000) == []
+    assert errors_of("javascript", deep) is None
+    f = spark.createDataFrame([(1, "r", "/a.js", "JavaScript", deep), (2, "r", "/b.js", "JavaScript", "x = 1"), (3, "r", "/c.js", "JavaScript", "x = ;")], "file_id long, repo_id string, path string, language string, content string")
+    assert {r.file_id: r.n_errors for r in verdicts(f).collect()} == {1: None, 2: 0, 3: 1}
+    assert [(r.files, r.invalid, r.unknown, r.accepted) for r in rates(f).collect()] == [(3, 1, 1, 0.5)]
