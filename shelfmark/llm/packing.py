@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.runtime import cut
+
 # Fixed value: one token is a maximal run of ASCII letters, digits and _, or one other non-blank character.
 # The blanks are those of Unicode; Java's \s knows ASCII only.
 BLANKS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -128,9 +130,11 @@ def pack(df: DataFrame, id: str, size: str, capacity: int, chunk_items: int = 20
     repeated ids are separate items. An empty table gives an empty result. Other columns are
     ignored.
     """
-    items = df.select(F.col(id).alias("id"), F.col(size).cast("long").alias("size")).where("id is not null and size > 0")
+    items = cut(df.select(F.col(id).alias("id"), F.col(size).cast("long").alias("size")).where("id is not null and size > 0"))
     chunks = max(1, math.ceil(items.count() / chunk_items))
-    items = items.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
+    # a fixed number of tasks, each with at most a few hundred chunks, however few bytes they are
+    tasks = max(min(chunks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), math.ceil(chunks / 200))
+    items = items.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).repartition(tasks, "chunk")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "id"], ascending=[False, True], kind="stable")

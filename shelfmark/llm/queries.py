@@ -14,7 +14,7 @@ from shelfmark.llm.leakage import LeakSearch
 from shelfmark.llm.neardup import NearDuplicates
 from shelfmark.llm.provenance import Provenance
 from shelfmark.llm.truncation import Truncation
-from shelfmark.runtime import table
+from shelfmark.runtime import cut, table
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -87,8 +87,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_windows(spark: SparkSession, d: str) -> DataFrame:
     """An assignment for every container, sizes as TESTDATA.md counts tokens."""
-    sized, parts = _sized(spark, d), []
-    for c in table(spark, d, "containers").select("container", "capacity_tokens").orderBy("container").limit(100).collect():
+    sized, parts = cut(_sized(spark, d)), []
+    kinds = table(spark, d, "containers").select("container", "capacity_tokens").distinct().orderBy("container").limit(1001).collect()
+    if len(kinds) > 1000:
+        raise ValueError("more than 1000 kinds of containers: pack them in parts")
+    for c in kinds:
         parts.append(packing.pack(sized, "doc_id", "tokens", c["capacity_tokens"]).select(F.lit(c["container"]).alias("container"), F.col("id").alias("doc_id"), "piece", "n_pieces", "tokens", "window"))
     out = parts[0]
     for p in parts[1:]:
