@@ -40,13 +40,31 @@ def _words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(WORD), F.lit(1))
 
 
-def trie(words: DataFrame, longest: int = 20) -> DataFrame:
-    """(prefix, own, below): documents of the word itself and of the longer words below it."""
-    w = words.where(F.length("word") <= 40)
-    prefixes = w.select(F.explode(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(longest)))).alias("k"), "word", "n").where(F.length("word") > 1)
-    below = prefixes.groupBy(F.expr("left(word, k)").alias("prefix")).agg(F.sum("n").alias("below"))
-    own = w.select(F.col("word").alias("prefix"), F.col("n").alias("own"))
-    return below.join(own, "prefix", "left").select("prefix", F.coalesce("own", F.lit(0)).alias("own"), "below")
+def trie(words: DataFrame, shallow: int = 20) -> DataFrame:
+    """(key, prefix, own, below): the count of a word itself and of the longer words of its key
+    below it, for prefixes of up to ``shallow`` characters of words(key, word, n)."""
+    prefixes = words.where(F.length("word") > 1).select("key", "word", "n", F.explode(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(shallow)))).alias("k"))
+    below = prefixes.groupBy("key", F.expr("left(word, k)").alias("prefix")).agg(F.sum("n").alias("below"))
+    own = words.groupBy("key", F.col("word").alias("prefix")).agg(F.sum("n").alias("own"))
+    return below.join(own, ["key", "prefix"], "left").select("key", "prefix", F.coalesce("own", F.lit(0)).alias("own"), "below")
+
+
+def continued(asked: DataFrame, words: DataFrame, shallow: int = 20) -> DataFrame:
+    """(key, word, own, below) of asked(key, word) that longer words of words(key, word, n) go on from.
+
+    Short ones are looked up in the trie. Those longer than its depth meet the words that share
+    their first ``shallow`` characters, so that no word of any length is left out and none
+    makes more than ``shallow`` rows.
+    """
+    asked = asked.select("key", "word").distinct()
+    short = asked.where(F.length("word") <= shallow).join(trie(words, shallow).withColumnRenamed("prefix", "word"), ["key", "word"])
+    head = lambda c: F.left(c, F.lit(shallow))
+    deep = asked.where(F.length("word") > shallow).select("key", head("word").alias("head"), "word")
+    others = words.where(F.length("word") > shallow).select("key", head("word").alias("head"), F.col("word").alias("other"), "n")
+    met = deep.join(others, ["key", "head"]).where(F.col("other").startswith(F.col("word"))).groupBy("key", "word").agg(
+        F.coalesce(F.sum(F.when(F.col("other") == F.col("word"), F.col("n"))), F.lit(0)).alias("own"), F.sum(F.when(F.col("other") != F.col("word"), F.col("n"))).alias("below")
+    )
+    return short.select("key", "word", "own", "below").union(met.where("below is not null").select("key", "word", "own", "below"))
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
@@ -101,32 +119,44 @@ class Truncation:
     def __init__(self, files: DataFrame, rarer: float = 0.01, usual: float = 0.003):
         self.rarer, self.usual = rarer, usual
         self.files = files.select("file_id", "path", "content", F.coalesce("source", F.lit("")).alias("source"), language_column().alias("lang"), F.col("language").isNotNull().alias("told"))
-
-    def prefixes(self) -> DataFrame:
-        return trie(vocabulary(self.files.select(F.col("content").alias("text"))))
+        self._rows: DataFrame | None = None
+
+    @property
+    def rows(self) -> DataFrame:
+        """What is looked at of each value, without the value: one reading of the table serves all counts."""
+        if self._rows is None:
+            tail, end = F.right("content", F.lit(400)), F.right("content", F.lit(120))
+            rows = self.files.select(
+                "file_id", "source", "lang", "told", F.col("content").rlike(r"\S").alias("whole"), F.length("content").alias("chars"), F.octet_length("content").alias("bytes"), F.xxhash64("content").alias("hash"),
+                F.when(F.col("path").rlike(r"\S"), F.substring_index("path", "/", -1)).alias("base"),
+                end.rlike(r"\n[ \t\r]*$").alias("ended"), end.rlike(NOTE).alias("noted"), end.rlike(DOTS).alias("dotted"),
+                F.concat(F.left(tail, F.length(tail) - 120), F.regexp_replace(F.regexp_replace(end, NOTE, ""), DOTS, "")).alias("tail"),
+            )
+            rows = rows.select("*", _shape(F.col("tail")).alias("shape"), F.lower(F.regexp_extract("tail", FINAL, 1)).alias("final"))
+            rows = rows.withColumn("open_words", F.size(_words(F.regexp_replace("tail", r"(?s)^.*(?:[.!?`]|\n\s*\n)", "")))).withColumn("stopped", F.col("dotted") | F.col("tail").rlike(r"[.!?:;)\]}>`\"'*_|=-]\s*$")).drop("tail")
+            self._rows = cut(rows)
+        return self._rows
+
+    def half_words(self, finals: DataFrame) -> DataFrame:
+        """(final, own, below) of final words that longer words go on from."""
+        words = vocabulary(self.files.select(F.col("content").alias("text"))).withColumn("key", F.lit(""))
+        asked = finals.where("final <> ''").select(F.lit("").alias("key"), F.col("final").alias("word"))
+        return continued(asked, words).select(F.col("word").alias("final"), "own", "below")
 
     def content_evidence(self) -> DataFrame:
         """One row for each value with any sign of a cut: its evidence and a score."""
-        whole = self.files.where(F.col("content").rlike(r"\S"))
-        tail, end = F.right("content", F.lit(400)), F.right("content", F.lit(120))
-        rows = whole.select(
-            "file_id", "source", "lang", F.length("content").alias("chars"), F.octet_length("content").alias("bytes"),
-            end.rlike(r"\n[ \t\r]*$").alias("ended"), end.rlike(NOTE).alias("noted"), end.rlike(DOTS).alias("dotted"),
-            F.concat(F.left(tail, F.length(tail) - 120), F.regexp_replace(F.regexp_replace(end, NOTE, ""), DOTS, "")).alias("tail"),
-        )
-        rows = rows.select("*", _shape(F.col("tail")).alias("shape"), F.lower(F.regexp_extract("tail", FINAL, 1)).alias("final"))
-        rows = rows.withColumn("open_words", F.size(_words(F.regexp_replace("tail", r"(?s)^.*(?:[.!?`]|\n\s*\n)", "")))).withColumn("stopped", F.col("dotted") | F.col("tail").rlike(r"[.!?:;)\]}>`\"'*_|=-]\s*$")).drop("tail")
-        chars = limits(whole.select("source", F.length("content").alias("len"), F.xxhash64("content").alias("hash"))).withColumnRenamed("cap", "cap_chars")
-        bytes_ = limits(whole.select("source", F.octet_length("content").alias("len"), F.xxhash64("content").alias("hash"))).withColumnRenamed("cap", "cap_bytes")
+        rows = self.rows.where("whole").drop("whole", "told", "base")
+        chars = limits(rows.select("source", F.col("chars").alias("len"), "hash")).withColumnRenamed("cap", "cap_chars")
+        bytes_ = limits(rows.select("source", F.col("bytes").alias("len"), "hash")).withColumnRenamed("cap", "cap_bytes")
         rows = rows.join(small_side(chars), "source", "left").join(small_side(bytes_), "source", "left")
         at_cap = F.coalesce(F.col("chars") == F.col("cap_chars"), F.lit(False)) | F.coalesce(F.col("bytes").between(F.col("cap_bytes") - 3, F.col("cap_bytes")), F.lit(False))
-        rows = cut(rows.withColumn("at_cap", at_cap))
+        rows = rows.withColumn("at_cap", at_cap)
         complete = rows.where("ended and not noted")
         shapes = complete.groupBy("lang", "shape").agg(F.count("*").alias("n_shape"))
         langs = complete.groupBy("lang").agg(F.count("*").alias("n_lang"))
         shapes = shapes.join(langs, "lang").where((F.col("n_shape") >= 2) & (F.col("n_shape") >= self.usual * F.col("n_lang"))).select("lang", "shape", F.lit(True).alias("known"))
-        some = rows.where("not ended or at_cap or noted").join(shapes, ["lang", "shape"], "left")
-        some = some.join(self.prefixes().withColumnRenamed("prefix", "final"), "final", "left")
+        some = cut(rows.where("not ended or at_cap or noted").join(shapes, ["lang", "shape"], "left"))
+        some = some.join(self.half_words(some), "final", "left")
         some = some.withColumn("half_word", F.coalesce((F.col("final") != "") & (F.col("own") < self.rarer * F.col("below")), F.lit(False)))
         code = some.where(F.col("lang").isin(*CHECKED)).select("file_id")
         texts = self.files.where(F.col("lang").isin(*CHECKED)).join(code, "file_id", "left_semi").select("file_id", "lang", "content")
@@ -145,22 +175,17 @@ class Truncation:
 
     def path_evidence(self) -> DataFrame:
         """One row for each cut path: the rule that told it."""
-        rows = self.files.where(F.col("path").rlike(r"\S")).select("file_id", "source", "lang", "told", F.substring_index("path", "/", -1).alias("base"))
+        rows = self.rows.where("base is not null").select("file_id", "source", "lang", "told", "base")
         rows = rows.select("*", F.lower(F.regexp_extract("base", r"\.([A-Za-z0-9]*)$", 1)).alias("ext"), F.col("base").contains(".").alias("has_dot"))
         # endings: in their language where it is told, else among all
         told = F.when(F.col("told"), F.col("lang")).otherwise(F.lit("*"))
-        ends = rows.where("ext <> ''")
-        counted = ends.where("told").groupBy(F.col("lang").alias("key"), "ext").agg(F.count("*").alias("n")).union(ends.groupBy(F.lit("*"), "ext").agg(F.count("*")))
-        a, b = counted.alias("a"), counted.alias("b")
-        longer = a.join(b, (F.col("a.key") == F.col("b.key")) & F.col("b.ext").startswith(F.col("a.ext")) & (F.length("b.ext") > F.length("a.ext")))
-        half = longer.groupBy("a.key", "a.ext").agg(F.max("a.n").alias("n"), F.sum("b.n").alias("more")).where(F.col("n") < 3 * self.rarer * F.col("more")).select("key", "ext", F.lit(True).alias("half_end"))
+        ends = rows.where("ext <> ''").groupBy("lang", "told", "ext").agg(F.count("*").alias("n"))
+        counted = ends.where("told").select(F.col("lang").alias("key"), F.col("ext").alias("word"), "n").union(ends.groupBy(F.lit("*"), "ext").agg(F.sum("n")))
+        half = continued(counted, counted).where(F.col("own") < 3 * self.rarer * F.col("below")).select("key", F.col("word").alias("ext"), F.lit(True).alias("half_end"))
         # names without an ending, against all names that go on from them
-        bare = rows.where(~F.col("has_dot")).groupBy("base").agg(F.count("*").alias("n_base"))
-        names = rows.groupBy("base").agg(F.count("*").alias("n"))
-        short = bare.select("base", F.left("base", F.lit(2)).alias("p"))
-        more = names.select(F.col("base").alias("long"), "n", F.left("base", F.lit(2)).alias("p"))
-        goes_on = short.join(more, (F.col("long").startswith(F.col("base"))) & (F.length("long") > F.length("base")) & (short["p"] == more["p"])).groupBy("base").agg(F.sum("n").alias("goes_on"))
-        bare = bare.join(goes_on, "base", "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(0)))
+        names = rows.groupBy(F.lit("").alias("key"), F.col("base").alias("word"), "has_dot").agg(F.count("*").alias("n"))
+        bare = names.where(~F.col("has_dot")).select("key", "word", F.col("n").alias("n_base"))
+        bare = bare.join(continued(bare, names.select("key", "word", "n")), ["key", "word"], "left").withColumnRenamed("word", "base").withColumn("goes_on", F.coalesce("below", F.lit(0)))
         whole = ((F.col("n_base") >= 2) & (F.col("n_base") >= F.col("goes_on"))) | F.col("base").rlike(r"^[A-Z][A-Z_]{2,}$|^[A-Z][a-z]+file$|^\.[a-z]+")
         bare = bare.select("base", whole.alias("whole_name"))
         joined = rows.withColumn("key", told).join(half, ["key", "ext"], "left").join(bare, "base", "left")
@@ -179,7 +204,7 @@ class Truncation:
     def rates(self) -> DataFrame:
         """(source, rows, cut_contents, cut_paths, share): how often each feed cuts."""
         f = self.found().groupBy("file_id").agg(F.max((F.col("field") == "content").cast("int")).alias("c"), F.max((F.col("field") == "path").cast("int")).alias("p"))
-        j = self.files.select("file_id", "source").join(f, "file_id", "left")
+        j = self.rows.select("file_id", "source").join(f, "file_id", "left")
         return j.groupBy("source").agg(
             F.count("*").alias("rows"), F.sum(F.coalesce("c", F.lit(0))).alias("cut_contents"), F.sum(F.coalesce("p", F.lit(0))).alias("cut_paths"),
             F.round(F.avg(F.coalesce(F.greatest("c", "p"), F.lit(0)).cast("double")), 6).alias("share"),
