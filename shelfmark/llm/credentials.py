@@ -3,11 +3,11 @@
 1. Every file is read for literals that could be credentials: values under a telling name, in
    a command or a call that takes a password, addresses with a password, and values of a known
    structure under any name; also in comments, base64-encoded or joined from pieces.
-2. The literals are indexed corpus-wide. A value without a structure that many repositories
-   share is a placeholder, whatever it looks like; so are the usual forms of placeholders.
-3. All files are read again with an Aho-Corasick automaton of the confirmed values, so a value
-   is found wherever it stands. An automaton holds ``shard`` values at most; more values are
-   searched in more passes, so no closure grows with the corpus.
+2. The literals are indexed corpus-wide. A value that many repositories share, in lines of their
+   own, is a placeholder, whatever it looks like; so are the usual forms of placeholders.
+3. All files are read again for the confirmed values, so a value is found wherever it stands. A
+   bitmap of fixed size tells the places where a value may stand; their surroundings are joined
+   with the values, which stay in a table, and read by an Aho-Corasick automaton of those at hand.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ TOKENS = (
 )
 TOKEN = re.compile(rf"(?<![A-Za-z0-9_/+=-])(?:{TOKENS})(?![A-Za-z0-9_=/+-])")
 HOOK = re.compile(r"https?://[\w.-]*hooks?[\w.-]*/(?:services|workflows|api/webhooks|webhooks?)/[\w/-]{20,}|https?://[\w.-]+/(?:api/)?webhooks/\d+/[\w-]{20,}")
-ADDRESS = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@\"'`<>]{1,60}:([^\s@/\"'`<>]{4,100})@[\w.-]+")
-PASSWORD_PART = re.compile(r"(?i)(?:^|[;\s\"'])(?:password|pwd)\s*=\s*([^;\"'\s]{4,80})(?=;|\"|'|$)")
+ADDRESS = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@\"'`<>]{1,}:([^\s@/\"'`<>]{4,})@[\w.-]+")
+PASSWORD_PART = re.compile(r"(?i)(?:^|[;\s\"'])(?:password|pwd)\s*=\s*([^;\"'\s]{4,})(?=;|\"|'|$)")
 BASIC = re.compile(r"(?i)\bBasic\s+([A-Za-z0-9+/]{8,}={0,2})")
 BEARER = re.compile(r"(?i)\bBearer\s+([A-Za-z0-9._~+/-]{16,}=*)")
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\\n|\\r|[\s\"'+,|>#*/-])*[A-Za-z0-9+/:]{16,}")
@@ -41,15 +43,15 @@ PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:\
 NAMED = re.compile(
     r"""(?x) (?: (?<![Cc]om) [Pp](?:ass|ASS) | [Pp](?:wd|WD) | [Pp][Ww](?![A-Za-z]) | [Ss](?:ecret|ECRET) | [Tt](?:oken|OKEN) | [Kk](?:ey|EY)(?![a-z]) | [Cc](?:red|RED) (?=[es E S]) | [Aa](?:uth|UTH)(?![a-z]{2}) | [Bb](?:earer|EARER) )
         ([\w.\-]{0,40}) ["'`\]]* [ \t]* (?: (?:[a-z]+[ \t]+){0,6}? (?:[a-z]+(?=:))? (?: : [ \t]*(?:str|string|String)\b )? [ \t]* (?: => | := | =(?!=) | : | \bis\b | \bwas\b ) | (?<=[\w]) [ \t]+ (?=") )
-        [ \t]* (?: (?:[\w.]*(?:decode|atob|unhex|fromhex|b64)\w*)\( [ \t]* )? (?: ["'`] ( [^"'`\n]{4,300} ) ["'`] | ( [^\s"'`,;{}()\[\]<>=]{6,200} (?![(\[]) ) )"""
+        [ \t]* (?: (?:[\w.]*(?:decode|atob|unhex|fromhex|b64)\w*)\( [ \t]* )? (?: ["'`] ( [^"'`\n]{4,} ) ["'`] | ( [^\s"'`,;{}()\[\]<>=]{6,} (?![(\[]) ) )"""
 )
-PAIR = re.compile(r"""(?im)\bname["']?\s*[:=]\s*["']?([\w.-]+)["']?,?[ \t]*\n?[ \t]*["']?value["']?\s*[:=]\s*["']?([^\s"',}]{6,200})""")
+PAIR = re.compile(r"""(?im)\bname["']?\s*[:=]\s*["']?([\w.-]+)["']?,?[ \t]*\n?[ \t]*["']?value["']?\s*[:=]\s*["']?([^\s"',}]{6,})""")
 NAME_BEFORE = re.compile(r"[\w.\-]*\Z")
-CALL = re.compile(r"""(?i)\b(?:connect|login|authenticate|auth|bind|sign_?in|log_?in|basic_?auth|set_?credentials?)\s*\(\s*["'`][^"'`\n]{1,80}["'`]\s*,\s*["'`]([^"'`\n]{6,200})["'`]""")
-COMMAND = re.compile(r"""(?i)(?:--(?:password|passwd|pass|token|secret|api-key|auth-token)[ =]|\s-u\s+[^\s:'"]+:|sshpass\s+-p\s*)["']?([^\s"']{6,200})["']?""")
-CODED = re.compile(r"""(?i)\b[\w.]*(?:decode|atob|unhex|fromhex|b64)\w*\(\s*["'`]([A-Za-z0-9+/=_-]{8,400})["'`]""")
-CHAIN = re.compile(r"""(["'`])([^"'`\n]{2,200})\1(?:\s*[+.]?\s*\\?\s*(["'`])([^"'`\n]{2,200})\3)+""")
-PIECE = re.compile(r"""(["'`])([^"'`\n]{2,200})\1""")
+CALL = re.compile(r"""(?i)\b(?:connect|login|authenticate|auth|bind|sign_?in|log_?in|basic_?auth|set_?credentials?)\s*\(\s*["'`][^"'`\n]{1,}["'`]\s*,\s*["'`]([^"'`\n]{6,})["'`]""")
+COMMAND = re.compile(r"""(?i)(?:--(?:password|passwd|pass|token|secret|api-key|auth-token)[ =]|\s-u\s+[^\s:'"]+:|sshpass\s+-p\s*)["']?([^\s"']{6,})["']?""")
+CODED = re.compile(r"""(?i)\b[\w.]*(?:decode|atob|unhex|fromhex|b64)\w*\(\s*["'`]([A-Za-z0-9+/=_-]{8,})["'`]""")
+CHAIN = re.compile(r"""(["'`])([^"'`\n]{2,})\1(?:\s*[+.]?\s*\\?\s*(["'`])([^"'`\n]{2,})\3)+""")
+PIECE = re.compile(r"""(["'`])([^"'`\n]{2,})\1""")
 JOINT = re.compile(r"""["'`][ \t]*\\?\n?[ \t]*\+[ \t]*\n?[ \t]*["'`]""")
 ADJACENT = re.compile(r'"[ \t]*\n?[ \t]*"(?=[A-Za-z0-9])')
 
@@ -126,13 +128,13 @@ def usable(value: str) -> bool:
 
 
 def decoded(value: str) -> str | None:
-    """The printable text that a base64 or hexadecimal literal stands for."""
+    """The printable text, line ends included, that a base64 or hexadecimal literal stands for."""
     for f in (lambda: base64.b64decode(value + "=" * (-len(value) % 4), validate=True), lambda: bytes.fromhex(value)):
         try:
             t = f().decode("ascii")
         except (binascii.Error, ValueError):
             continue
-        if len(t) >= 6 and t.isprintable():
+        if len(t) >= 6 and all(c.isprintable() or c in "\t\r\n" for c in t):
             return t
     return None
 
@@ -196,7 +198,7 @@ def literals(text: str) -> list[tuple[int, str, bool]]:
     if "coded" in kinds:
         for m in CODED.finditer(text):
             t = decoded(m.group(1))
-            if t and (structured(t) or ADDRESS.match(t) and not PLACE.match(ADDRESS.match(t).group(1))):
+            if t and (structured(t) or PRIVATE.search(t) or ADDRESS.match(t) and not PLACE.match(ADDRESS.match(t).group(1))):
                 add(m.start(1), m.group(1), True)
     for at in named:
         m = NAMED.match(text, at)
@@ -208,7 +210,7 @@ def literals(text: str) -> list[tuple[int, str, bool]]:
         value, start = (m.group(2), m.start(2)) if m.group(2) else (m.group(3), m.start(3))
         if CODED.search(text[m.start() : m.end() + 1]):
             t = decoded(value)
-            if t and not PLACE.match(t) and (usable(t) or structured(t)):
+            if t and not PLACE.match(t) and (usable(t) or structured(t) or PRIVATE.search(t)):
                 add(start, value, False)
         elif usable(value):
             add(start, value, structured(value))
@@ -230,7 +232,7 @@ def literals(text: str) -> list[tuple[int, str, bool]]:
     return [(a, *v) for a, v in out.items()]
 
 
-INDEX = "file_id long, repo_id string, line_no int, at int, value string, structured boolean"
+INDEX = "file_id long, repo_id string, line_no int, at int, value string, structured boolean, line long"
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,35 +240,113 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, repo, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             for at, value, sure in literals(text):
-                rows.append((i, repo, text.count("\n", 0, at) + 1, at, value, sure))
-        cols = list(zip(*rows)) or [[]] * 6
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file_id", "repo_id", "line_no", "at", "value", "structured"])
+                end = text.find("\n", at)
+                line = text[text.rfind("\n", 0, at) + 1 : end if end >= 0 else len(text)].strip()
+                rows.append((i, repo, text.count("\n", 0, at) + 1, at, value, sure, xxhash.xxh3_64_intdigest(line) >> 1))
+        cols = list(zip(*rows)) or [[]] * 7
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file_id", "repo_id", "line_no", "at", "value", "structured", "line"])
 
 
-def _rescan(values: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+# Anchors: a window of bytes of each value; short values have short ones.
+WIDE, NARROW = 8, 4
+BITS = 26
+MIX = np.uint64(0x9E3779B97F4A7C15)
+TELLING = bytes(1 if chr(c).isdigit() or chr(c).isupper() else 0 for c in range(128)) + bytes(128)
 
-        known = ahocorasick.Automaton()
-        for v in values:
-            known.add_word(v, len(v))
-        if values:
-            known.make_automaton()
+
+def anchor(value: str) -> tuple[int, int, int]:
+    """(width, offset in characters, key) of a value's anchor: its window with the most digits and capitals."""
+    b = value.encode()
+    width = WIDE if len(b) >= WIDE else NARROW
+    marks = b.translate(TELLING)
+    best = max((k for k in range(len(b) - width + 1) if b[k] & 0xC0 != 0x80), key=lambda k: sum(marks[k : k + width]), default=0)
+    key = int.from_bytes(b[best : best + width].ljust(WIDE, b"\0"), "little", signed=True)
+    return width, len(b[:best].decode()), key
+
+
+def bit_of(keys: np.ndarray) -> np.ndarray:
+    """Places of keys in a bitmap of 2 ** BITS bits."""
+    return (keys * MIX) >> np.uint64(64 - BITS)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = batch.column(0).to_pylist()
+        found = [anchor(v) for v in values]
+        keys = np.array([k for _, _, k in found], dtype=np.int64)
+        bits = bit_of(keys.view(np.uint64)).astype(np.int64)
+        cols = [pa.array(values, pa.string()), pa.array([w for w, _, _ in found], pa.int32()), pa.array([o for _, o, _ in found], pa.int32()), pa.array(keys), pa.array(bits)]
+        yield pa.RecordBatch.from_arrays(cols, names=["value", "width", "offset", "key", "bit"])
+
+
+def _rescan(maps, longest: int):
+    """Pieces of texts around each place whose bytes are an anchor, by the bitmaps.
+
+    A piece reaches ``longest`` characters to both sides, so that it holds every value whose
+    anchor stands there, and one more, by which its ends are judged.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmaps = maps.value
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for end, n in known.iter(text) if values else ():
-                    a, b = end - n + 1, end + 1
-                    word = text[a - 1 : a].isalnum() and text[a].isalnum() or text[b : b + 1].isalnum() and text[b - 1].isalnum()
-                    if not word:
-                        rows.append((i, text.count("\n", 0, a) + 1, a, b))
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int32()])], names=["file_id", "line_no", "at", "until"])
+                raw = text.encode()
+                data = np.frombuffer(raw + b"\0" * 15, dtype=np.uint8)
+                keys = np.empty(len(data) // 8 * 8, dtype=np.uint64)
+                for k in range(8):
+                    part = data[k : k + (len(data) - k) // 8 * 8].view(np.uint64)
+                    keys[k::8][: len(part)] = part[: len(keys[k::8])]
+                keys = keys[: len(raw)]
+                for width, bitmap in bitmaps.items():
+                    x = keys if width == WIDE else keys & np.uint64(0xFFFFFFFF)
+                    bit = bit_of(x)
+                    hits = np.flatnonzero((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                    for h in hits.tolist():
+                        if raw[h] & 0xC0 == 0x80:
+                            continue
+                        at = h if len(raw) == len(text) else len(raw[:h].decode())
+                        a, b = max(0, at - longest), min(len(text), at + longest)
+                        # one character more to both sides, null where the text ends
+                        rows.append((i, width, int(x[h].view(np.int64)), at - a, a, text.count("\n", 0, a), text[a:b], text[a - 1 : a] if a else "", text[b : b + 1]))
+            cols = list(zip(*rows)) or [[]] * 9
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file_id", "width", "key", "inside", "start", "lines", "piece", "left", "right"])
 
     return run
 
 
+PIECES = "file_id long, width int, key long, inside int, start int, lines int, piece string, left string, right string"
+PLACES = "file_id long, line_no int, at int, until int"
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of values in their pieces: an automaton of the values that meet a batch of pieces."""
+    import ahocorasick
+
+    for batch in batches:
+        ids, starts, lines, pieces, lefts, rights, values = (batch.column(k).to_pylist() for k in range(7))
+        known = ahocorasick.Automaton()
+        for v in set(values):
+            known.add_word(v, v)
+        if values:
+            known.make_automaton()
+        rows, found = [], {}
+        for i, start, before, piece, left, right, value in zip(ids, starts, lines, pieces, lefts, rights, values):
+            if (i, start) not in found:
+                found = {(i, start): [(end, v) for end, v in known.iter(piece)]}
+            for end, v in found[i, start]:
+                if v != value:
+                    continue
+                a, b = end - len(v) + 1, end + 1
+                first, after = piece[a - 1] if a else left, piece[b] if b < len(piece) else right
+                if not (first.isalnum() and piece[a].isalnum() or after.isalnum() and piece[b - 1].isalnum()):
+                    rows.append((i, before + piece.count("\n", 0, a) + 1, start + a, start + b))
+        cols = list(zip(*rows)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int32()])], names=["file_id", "line_no", "at", "until"])
+
+
 def redacted(text: str, spans: list[tuple[int, int]], mark: str = "REDACTED") -> str:
     """``text`` with the spans replaced by ``mark``; all else, line ends too, stays as it is."""
     out, last = [], 0
@@ -288,32 +368,40 @@ class Credentials:
     """Credentials in files (file_id, repo_id, content); other columns are ignored.
 
     Null or blank contents give nothing. A null repo_id counts as an owner of its own. Copies of
-    a file are each reported; ``max_owners`` repositories may share a value without structure
-    before it counts as a placeholder.
+    a file are each reported. A value is widely shared if it stands in different lines of many
+    repositories, which copies of one file never make: in more than ``shared`` of all (and
+    ``few`` at least). Such a value is a placeholder, whatever its structure.
     """
 
-    def __init__(self, files: DataFrame, max_owners: int = 25, shard: int = 200_000):
+    def __init__(self, files: DataFrame, shared: float = 0.02, few: int = 25):
         self.files = files.select("file_id", F.coalesce("repo_id", F.lit("")).alias("repo_id"), "content").where(F.col("content").rlike(r"\S"))
-        self.shard = shard
         self.index = cut(self.files.mapInArrow(_index, INDEX))
-        owners = self.index.groupBy("value").agg(F.approx_count_distinct("repo_id").alias("owners"), F.max("structured").alias("structured"))
-        self.confirmed = cut(owners.where(F.col("structured") | (F.col("owners") <= max_owners)))
+        repos = self.files.select("repo_id").distinct().count()
+        owners = self.index.groupBy("value").agg(F.countDistinct("repo_id").alias("repos"), F.countDistinct("line").alias("lines"), F.max("structured").alias("structured"))
+        own = ~F.col("value").startswith("-----BEGIN")
+        self.confirmed = cut(owners.where(~own | (F.least("repos", "lines") <= max(few, shared * repos))))
 
     def occurrences(self) -> DataFrame:
         """(file_id, line_no, at, until): every place of every confirmed value.
 
-        Private keys come from the index, up to their END line; other values from the automata.
+        Private keys come from the index, up to their END line. Other values are searched in all
+        files by one more reading, whatever their number: a bitmap of anchors, of a fixed size,
+        picks the places, whose surroundings are joined with the values and read by automata.
         """
-        values = self.confirmed.where(~F.col("value").startswith("-----BEGIN") & (F.length("value") >= 8)).select("value")
-        n = values.count()
-        parts = []
-        for k in range(max(1, math.ceil(n / self.shard))):
-            some = values if n <= self.shard else values.where(F.pmod(F.xxhash64("value"), F.lit(math.ceil(n / self.shard))) == k)
-            parts.append(self.files.select("file_id", "content").mapInArrow(_rescan([r["value"] for r in some.toLocalIterator()]), "file_id long, line_no int, at int, until int"))
         found = self.index.join(self.confirmed.select("value"), "value", "left_semi").select("file_id", "line_no", "at", (F.col("at") + F.length("value")).cast("int").alias("until"))
-        for p in parts:
-            found = found.union(p)
-        return found.distinct()
+        values = self.confirmed.where(~F.col("value").startswith("-----BEGIN")).select("value")
+        keys = cut(values.mapInArrow(_anchors, "value string, width int, offset int, key long, bit long"))
+        buckets = keys.groupBy("width", F.shiftright("bit", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("map")).collect()
+        if not buckets:
+            return found.distinct()
+        longest = keys.agg(F.max(F.length("value"))).first()[0]
+        bitmaps: dict[int, np.ndarray] = {}
+        for r in buckets:
+            bitmaps.setdefault(r["width"], np.zeros(1 << BITS - 3, dtype=np.uint8))[r["bucket"] << 12 : (r["bucket"] + 1) << 12] = np.frombuffer(r["map"], dtype=np.uint8)
+        pieces = self.files.select("file_id", "content").mapInArrow(_rescan(self.files.sparkSession.sparkContext.broadcast(bitmaps), longest), PIECES)
+        meet = pieces.join(keys.drop("bit"), ["width", "key"]).where(F.substring("piece", F.col("inside") - F.col("offset") + 1, F.length("value")) == F.col("value"))
+        again = meet.select("file_id", "start", "lines", "piece", "left", "right", "value").mapInArrow(_verify, PLACES)
+        return found.union(again).distinct()
 
     def lines(self) -> DataFrame:
         return self.occurrences().select("file_id", F.col("line_no").cast("long").alias("line_no")).distinct()
