@@ -139,7 +139,7 @@ class Truncation:
 
     def half_words(self, finals: DataFrame) -> DataFrame:
         """(final, own, below) of final words that longer words go on from."""
-        words = vocabulary(self.files.select(F.col("content").alias("text"))).withColumn("key", F.lit(""))
+        words = cut(vocabulary(self.files.select(F.col("content").alias("text"))).withColumn("key", F.lit("")))
         asked = finals.where("final <> ''").select(F.lit("").alias("key"), F.col("final").alias("word"))
         return continued(asked, words).select(F.col("word").alias("final"), "own", "below")
 
@@ -179,11 +179,11 @@ class Truncation:
         rows = rows.select("*", F.lower(F.regexp_extract("base", r"\.([A-Za-z0-9]*)$", 1)).alias("ext"), F.col("base").contains(".").alias("has_dot"))
         # endings: in their language where it is told, else among all
         told = F.when(F.col("told"), F.col("lang")).otherwise(F.lit("*"))
-        ends = rows.where("ext <> ''").groupBy("lang", "told", "ext").agg(F.count("*").alias("n"))
+        ends = cut(rows.where("ext <> ''").groupBy("lang", "told", "ext").agg(F.count("*").alias("n")))
         counted = ends.where("told").select(F.col("lang").alias("key"), F.col("ext").alias("word"), "n").union(ends.groupBy(F.lit("*"), "ext").agg(F.sum("n")))
         half = continued(counted, counted).where(F.col("own") < 3 * self.rarer * F.col("below")).select("key", F.col("word").alias("ext"), F.lit(True).alias("half_end"))
         # names without an ending, against all names that go on from them
-        names = rows.groupBy(F.lit("").alias("key"), F.col("base").alias("word"), "has_dot").agg(F.count("*").alias("n"))
+        names = cut(rows.groupBy(F.lit("").alias("key"), F.col("base").alias("word"), "has_dot").agg(F.count("*").alias("n")))
         bare = names.where(~F.col("has_dot")).select("key", "word", F.col("n").alias("n_base"))
         bare = bare.join(continued(bare, names.select("key", "word", "n")), ["key", "word"], "left").withColumnRenamed("word", "base").withColumn("goes_on", F.coalesce("below", F.lit(0)))
         whole = ((F.col("n_base") >= 2) & (F.col("n_base") >= F.col("goes_on"))) | F.col("base").rlike(r"^[A-Z][A-Z_]{2,}$|^[A-Z][a-z]+file$|^\.[a-z]+")
