@@ -1,10 +1,13 @@
 """Which files were not written by hand for their repository (problem 5).
 
 Every file gives evidence for five labels (handwritten, generated, minified, vendored, blob)
-as log potentials; its directory and the directories above and below form a tree, over which
-belief propagation passes messages: neighbours tend to share their label. The messages of a
-directory's files are added up before anything is joined, so a directory of any size is one
-aggregate, and a file meets only the belief of its own directory.
+as log potentials from its own text and name. Whether plain source was written here or taken over
+its text does not tell; that comes from where it lies. The directories of a repository form a
+tree, in which folders and files that lie in one another tend to share their label; a folder set
+apart by its name (the library below ``node_modules`` and the like) has evidence of its own and
+says nothing about the folder around it. Belief propagation over the tree is exact: one pass up
+and one pass down, level by level. The messages of a directory's files are added up before
+anything is joined, so a directory of any size is one aggregate.
 """
 
 from __future__ import annotations
@@ -24,9 +27,15 @@ from shelfmark.runtime import cut
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 CODE = ("python", "javascript", "typescript", "java", "go", "c", "c#", "ruby", "json", "c++", "php", "rust", "")
 
+# Compatibilities of a label with itself, between a file and its folder, and between folders.
+FILE_TIES = (1.0, 1.0, 1.0, 1.0, 1.0)
+FOLDER_TIES = (4.0, 1.0, 1.0, 4.0, 1.0)
+# Log potentials: the root is its repository's own; a library's folder is vendored.
+ROOT, LIBRARY, LIKELY_LIBRARY = 6.0, 6.0, 5.0
+
 # What tools and people call such files and folders.
-VENDOR_DIRS = re.compile(r"(?:^|/)(third[_-]?party|node_modules|_?vendored|bower_components|externals?|deps|bundled|vendors?)/(?=[^/]+/)", re.IGNORECASE)
-WEAK_VENDOR = frozenset(["vendor", "vendors"])
+LIBRARIES = ("third_party", "third-party", "thirdparty", "node_modules", "_vendored", "vendored", "bower_components", "external", "externals", "deps", "bundled")
+WEAK_VENDOR = ("vendor", "vendors")
 GENERATED_DIRS = re.compile(r"(?:^|/)(?:gen|generated|autogen|auto[_-]generated|generated[_-]sources|__generated__)/", re.IGNORECASE)
 GENERATED_NAME = re.compile(r"(?:_pb2(?:_grpc)?\.pyi?|\.pb(?:-c)?\.(?:go|c|h|cc|rb|js|ts)|\.g\.cs|\.g\.dart|\.designer\.cs|\.generated\.\w+|_gen(?:erated)?\.\w+|_Gen\.java|Grpc\.java|[._]tab\.[ch]|lex\.yy\.c|_string\.go|\.pb\.\w+)(?:$|[ (_.-])", re.IGNORECASE)
 MINIFIED_NAME = re.compile(r"(?:[.-]min|\.bundle|\.chunk|-[0-9a-f]{8,})\.(?:js|mjs|css)$")
@@ -56,7 +65,7 @@ def noted(pattern: re.Pattern, text: str, language: str) -> bool:
     parts, at = PARTS.get(language), 0
     inside = None
     while m := pattern.search(text, at):
-        if m.start() < 1500 or parts is None:
+        if parts is None:
             return True
         if inside is None:
             inside = [x.span() for x in parts.finditer(text) if x.group(1) is None]
@@ -68,8 +77,11 @@ def noted(pattern: re.Pattern, text: str, language: str) -> bool:
 
 
 def evidence(path: str, language: str, text: str | None) -> tuple[float, float, float, float, float]:
-    """Log potentials of the five labels for one file; all its text is read."""
-    hand, gen, mini, vend, blob = 2.0, 0.0, 0.0, 0.0, 0.0
+    """Log potentials of the five labels for one file, from its text and name; all the text is read.
+
+    Plain source is as likely vendored as handwritten.
+    """
+    hand, gen, mini, vend, blob = 2.0, 0.0, 0.0, 0.0 if language == "json" else 2.0, 0.0
     name = path.rsplit("/", 1)[-1]
     lock = bool(LOCK_NAME.search(path))
     if text is None or not text.strip():
@@ -93,6 +105,9 @@ def evidence(path: str, language: str, text: str | None) -> tuple[float, float,
             blob += 2
         if text.count('"integrity"') >= 3 and text.count('"resolved"') >= 3:
             gen += 6
+    top = path.split("/", 2)[1] if path.count("/") > 1 else ""
+    if top and language == "python" and re.search(rf"^[ \t]*(?:from|import)[ \t]+{re.escape(top)}\.", text, re.MULTILINE):
+        hand += 1.5  # it uses the repository's own modules
     if noted(ORIGIN, text, language):
         gen += 6
     if GENERATED_NAME.search(name):
@@ -104,14 +119,13 @@ def evidence(path: str, language: str, text: str | None) -> tuple[float, float,
         steps = sum(b == a + 1 for a, b in zip(runs, runs[1:]))
         if steps >= 0.6 * (len(runs) - 1):
             gen += 4.5 if steps >= 3 else 2.5
+    if gen and 2 <= len(set(runs)) and gen < 4:
+        gen += 1.5
     if noted(UPSTREAM, text, language):
         vend += 5
     if noted(OWNERS, text, language):
         vend += 2.5
     if language != "json":
-        v = VENDOR_DIRS.search(path)
-        if v:
-            vend += 1.5 if v.group(1).lower() in WEAK_VENDOR else 3.5
         lines = text.split("\n")
         longest = max(map(len, lines))
         long = sum(len(x) for x in lines if len(x) > 250)
@@ -160,10 +174,12 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def message(belief: Column, coupling: float) -> Column:
-    """Potts message from an array of log beliefs: between 0 and ``coupling`` for every label."""
+def message(belief: Column, ties: tuple[float, ...]) -> Column:
+    """What an array of log beliefs says to a neighbour: for each label the log of the sum over the
+    own labels, those that agree weighted by their tie."""
+    gain = F.array(*[F.lit(math.expm1(t)) for t in ties])
     total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    sent = lambda e: let(total(e), lambda t: F.transform(e, lambda x: F.log1p(F.lit(math.expm1(coupling)) * x / t)))
+    sent = lambda e: let(total(e), lambda t: F.zip_with(e, gain, lambda x, g: F.log1p(g * x / t)))
     scaled = lambda b: let(F.array_max(b), lambda top: F.transform(b, lambda x: F.exp(x - top)))
     return let(belief, lambda b: let(scaled(b), sent))
 
@@ -183,64 +199,81 @@ def _sum(c: str) -> Column:
 class Provenance:
     """Labels of files (file_id, repo_id, path, content, language).
 
-    Null or blank contents and texts or configuration are handwritten, as is a file without any
-    evidence. A null path counts as the repository's root. Other columns are ignored.
+    Null or blank contents and texts or configuration are handwritten and have no say about their
+    folder. A null path counts as the repository's root. Other columns are ignored.
     """
 
-    def __init__(self, files: DataFrame, coupling: float = 0.7, rounds: int = 3, rare: float = 0.02):
-        self.coupling, self.rounds = coupling, rounds
+    def __init__(self, files: DataFrame, rare: float = 0.02):
+        self.rare = rare
         path = F.coalesce("path", F.lit(""))
         path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
         source = files.withColumn("path", path)
         rows = source.select("file_id", F.coalesce("repo_id", F.lit("")).alias("repo_id"), "path", language_column().alias("language"), "content")
-        found = rows.mapInArrow(_measure, "file_id long, repo_id string, dir string, " + ", ".join(f"{x} double" for x in LABELS))
-        self.evidence = cut(self._libraries(cut(found), rare, rows.agg(F.approx_count_distinct("repo_id")).first()[0]))
-
-    @staticmethod
-    def _libraries(found: DataFrame, rare: float, repos: int) -> DataFrame:
-        """A folder "vendor" may be about vendors: what lies in it is a library only if few
-        repositories have a folder of that name."""
-        last = F.lower(F.regexp_extract("dir", r"(?i)/vendors?/([^/]+)", 1))
-        names = found.select("repo_id", F.explode(F.array_distinct(F.split(F.lower("dir"), "/"))).alias("lib")).where("lib <> ''").groupBy("lib").agg(F.approx_count_distinct("repo_id").alias("n"))
-        names = names.select("lib", (F.col("n") <= max(2, rare * repos)).alias("rare"))
-        joined = found.withColumn("lib", last).join(names, "lib", "left")
-        weak = (F.col("lib") != "") & F.col("vendored").between(1.4, 1.6)
-        return joined.withColumn("vendored", F.when(weak & F.col("rare"), F.col("vendored") + 2).when(weak, F.col("vendored") - 1.2).otherwise(F.col("vendored"))).drop("lib", "rare")
+        self.evidence = cut(rows.mapInArrow(_measure, "file_id long, repo_id string, dir string, " + ", ".join(f"{x} double" for x in LABELS)))
 
-    def beliefs(self) -> DataFrame:
-        """(repo_id, dir, b): log beliefs of the directories after the last round.
+    def folders(self) -> DataFrame:
+        """(repo_id, dir, depth, apart, f): every folder with its own potentials and its files' messages.
 
-        ``f`` adds up what the files of a directory say, ``u`` is its message to the directory
-        above, ``d`` the one from there.
+        A folder below one called "vendor" may be about vendors: it is a library only if few
+        repositories have a folder of its name.
         """
         zero = F.array(*[F.lit(0.0)] * len(LABELS))
-        base = self.evidence.select("repo_id", "dir", message(F.array(*LABELS), self.coupling).alias("s")).groupBy("repo_id", "dir").agg(_sum("s").alias("f"))
-        # every folder above one with files is a node, too
+        told = F.when(F.col("handwritten") > 8, zero).otherwise(message(F.array(*LABELS), FILE_TIES))
+        base = self.evidence.select("repo_id", "dir", told.alias("s")).groupBy("repo_id", "dir").agg(_sum("s").alias("f"))
         parts = F.split("dir", "/")
-        up = base.select("repo_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir")).distinct()
-        parent = F.when(F.col("dir") == "", None).otherwise(F.regexp_replace("dir", r"/[^/]*$", ""))
-        dirs = up.join(base, ["repo_id", "dir"], "left").select("repo_id", "dir", parent.alias("parent"), F.coalesce("f", zero).alias("f"), zero.alias("u"), zero.alias("d"))
+        every = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir")
+        dirs = cut(base.select("repo_id", every).distinct().join(base, ["repo_id", "dir"], "left"))
+        name, above = F.lower(F.element_at(F.split("dir", "/"), -1)), F.lower(F.try_element_at(F.split("dir", "/"), F.lit(-2)))
+        names = dirs.groupBy(name.alias("name")).agg(F.countDistinct("repo_id").alias("n"))
+        repos = dirs.where("dir = ''").count()
+        dirs = dirs.withColumn("name", name).join(names.select("name", (F.col("n") <= max(2, self.rare * repos)).alias("rare")), "name")
+        vendored = F.when(above.isin(*LIBRARIES), LIBRARY).when(above.isin(*WEAK_VENDOR) & F.col("rare"), LIKELY_LIBRARY).otherwise(0.0)
+        own = F.array(F.when(F.col("dir") == "", ROOT).otherwise(0.0), F.lit(0.0), F.lit(0.0), vendored, F.lit(0.0))
+        return dirs.select("repo_id", "dir", (F.size(F.split("dir", "/")) - 1).alias("depth"), (vendored > 0).alias("apart"), _plus(own, F.coalesce("f", zero)).alias("f"))
 
-        def believed(dirs: DataFrame) -> DataFrame:
-            below = dirs.where("parent is not null").groupBy("repo_id", F.col("parent").alias("dir")).agg(_sum("u").alias("c"))
-            return dirs.join(below, ["repo_id", "dir"], "left").withColumn("b", _plus(_plus(F.col("f"), F.coalesce("c", zero)), F.col("d"))).drop("c")
+    def beliefs(self) -> DataFrame:
+        """(repo_id, dir, b): log beliefs of the folders, from all files and folders of the tree.
 
-        for _ in range(self.rounds):
-            full = believed(cut(dirs))
-            above = full.select("repo_id", F.col("dir").alias("parent"), F.col("b").alias("p"))
-            down = F.when(F.col("p").isNull(), zero).otherwise(message(_minus(F.col("p"), F.col("u")), self.coupling))
-            dirs = full.join(above, ["repo_id", "parent"], "left").select("repo_id", "dir", "parent", "f", message(_minus(F.col("b"), F.col("d")), self.coupling).alias("u"), down.alias("d"))
-        return believed(cut(dirs)).select("repo_id", "dir", "b")
+        Up: each level, the deepest first, adds the messages ``u`` of the level below. Down: each
+        level adds what the folder above believes without it.
+        """
+        zero = F.array(*[F.lit(0.0)] * len(LABELS))
+        dirs = cut(self.folders())
+        deepest = dirs.agg(F.max("depth")).first()[0]
+        if deepest is None:
+            return dirs.select("repo_id", "dir", F.col("f").alias("b"))
+        parent = F.regexp_replace("dir", r"/[^/]*$", "")
+        levels: list[DataFrame] = []
+        below = None
+        for d in range(deepest, -1, -1):
+            here = dirs.where(F.col("depth") == d)
+            if below is not None:
+                c = below.groupBy("repo_id", F.col("parent").alias("dir")).agg(_sum("u").alias("c"))
+                here = here.join(c, ["repo_id", "dir"], "left").withColumn("f", _plus(F.col("f"), F.coalesce("c", zero)))
+            u = F.when(F.col("apart") | (F.col("dir") == ""), zero).otherwise(message(F.col("f"), FOLDER_TIES))
+            below = cut(here.select("repo_id", "dir", parent.alias("parent"), "apart", "f", u.alias("u")))
+            levels.append(below)
+        done = [levels.pop().select("repo_id", "dir", F.col("f").alias("b"))]
+        while levels:
+            above = done[-1].select("repo_id", F.col("dir").alias("parent"), F.col("b").alias("p"))
+            down = F.when(F.col("apart"), zero).otherwise(message(_minus(F.col("p"), F.col("u")), FOLDER_TIES))
+            done.append(cut(levels.pop().join(above, ["repo_id", "parent"]).select("repo_id", "dir", _plus(F.col("f"), down).alias("b"))))
+        out = done[0]
+        for x in done[1:]:
+            out = out.union(x)
+        return out
 
     def labels(self) -> DataFrame:
-        """(file_id, repo_id, label, p_handwritten)."""
+        """(file_id, repo_id, label, p_handwritten, own_label): the last from the file's own evidence alone."""
         own = F.array(*LABELS)
-        j = self.evidence.join(self.beliefs(), ["repo_id", "dir"]).select("file_id", "repo_id", _plus(own, message(_minus(F.col("b"), message(own, self.coupling)), self.coupling)).alias("x"))
+        fixed = F.col("handwritten") > 8
+        told = F.when(fixed, own).otherwise(_plus(own, message(_minus(F.col("b"), message(own, FILE_TIES)), FILE_TIES)))
+        j = self.evidence.join(self.beliefs(), ["repo_id", "dir"]).select("file_id", "repo_id", told.alias("x"), own.alias("own"))
         names = F.array(*[F.lit(x) for x in LABELS])
         share = let(F.col("x"), lambda x: let(F.array_max(x), lambda top: F.exp(x[0] - top) / F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))))
-        label = let(F.col("x"), lambda x: names[(F.array_position(x, F.array_max(x)) - 1).cast("int")])
-        return j.select("file_id", "repo_id", label.alias("label"), F.round(share, 6).alias("p_handwritten"))
+        best = lambda c: let(F.col(c), lambda x: names[(F.array_position(x, F.array_max(x)) - 1).cast("int")])
+        return j.select("file_id", "repo_id", best("x").alias("label"), F.round(share, 6).alias("p_handwritten"), best("own").alias("own_label"))
 
     def foreign(self) -> DataFrame:
-        """(file_id): files that were more likely not written by hand here."""
-        return self.labels().where("p_handwritten < 0.5").select("file_id")
+        """(file_id): files that were most likely not written by hand here."""
+        return self.labels().where("label <> 'handwritten'").select("file_id")

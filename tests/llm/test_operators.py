@@ -222,7 +222,7 @@ def test_notices_behind_a_long_header():
     licence = "# Permission is granted to whoever reads these lines of text.\n" * 40
     weight = lambda text, path="/src/f.py", language="python": evidence(path, language, text)
     assert weight(licence + "# Code generated by toolc v1.2. DO NOT EDIT.\n" + hand)[1] == weight("# Code generated by toolc v1.2. DO NOT EDIT.\n" + hand)[1] == 6
-    assert weight(licence + "# Vendored from a library.\n" + hand)[3] == 5 and weight(licence + "# (c) 2020 the authors\n" + hand)[3] == 2.5
+    assert weight(licence + "# Vendored from a library.\n" + hand)[3] == 7 and weight(licence + "# (c) 2020 the authors\n" + hand)[3] == 4.5
     # the text of a file that a generator writes is no notice about the generator
     assert weight(licence + hand + 'T = """\n# Code generated by toolc v1.2. DO NOT EDIT.\n"""\n')[1] == 0
     assert weight('{"file": "' + "a" * 60 + '.js", "version": 3}', "/a.js.map", "json")[1] == 7
