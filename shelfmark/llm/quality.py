@@ -1,12 +1,18 @@
 """Per-document text quality statistics (problem 9).
 
-Every document gets statistics over its whole text; per language each statistic goes into a
-mergeable quantile sketch (KLL), from which values become percentiles and robust z-scores and
-the tails are flagged. The statistic that decides ``not_prose`` is the share of non-blank
-characters that belong to running sentences.
+Every document gets statistics over its whole text; each statistic goes into a mergeable
+quantile sketch (KLL) per language and into one of all documents. From these values become
+percentiles and robust z-scores, and the tails are flagged.
+
+A document is no prose if less than half of its non-blank characters belong to running
+sentences, or if it lies so far out among the documents of its language, in signs or figures on
+the one side and in common words on the other, that what looked like sentences were none (menus,
+sparse tables). Languages of fewer than ``enough`` documents, and documents without one, are
+compared with all documents.
 
 Which words are common is told by the corpus: per language those whose share of documents is,
-with three standard deviations to spare, at least a tenth; the fixed function words below join them.
+with three standard deviations to spare, at least a tenth; the fixed function words below join
+them. Documents of no told language have the latter only: what is frequent there is frequent junk.
 """
 
 from __future__ import annotations
@@ -153,6 +159,7 @@ def common_words(docs: DataFrame, share: float = 0.1) -> DataFrame:
     (mean distinct words of a document) / share words pass per language.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,})"), F.lit(1)))
+    docs = docs.where("language <> 'und'")
     n = docs.groupBy("language").agg(F.count("*").alias("n"))
     df = docs.select("language", F.explode(words).alias("word")).groupBy("language", "word").agg(F.count("*").alias("df"))
     return df.join(n, "language").where((F.col("df") - 3 * F.sqrt("df")) >= share * F.col("n")).select("language", "word")
@@ -189,29 +196,37 @@ def statistics(documents: DataFrame, most_words: int = 50_000) -> DataFrame:
     return cut(docs.mapInArrow(_measurer(frozen), schema))
 
 
+ALL = "*"
+
+
 def sketches(stats: DataFrame, k: int = 200) -> DataFrame:
-    """One KLL sketch for each language and statistic; sketches of parts merge without loss of rank error."""
-    return stats.groupBy("language").agg(*[F.kll_sketch_agg_double(s, k).alias(f"k_{s}") for s in STATS])
+    """(language, n, k_<statistic>): one KLL sketch for each language and statistic, and those of all
+    documents under "*"; sketches of parts merge without loss of rank error."""
+    both = stats.withColumn("language", F.explode(F.array("language", F.lit(ALL))))
+    return both.groupBy("language").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(s, k).alias(f"k_{s}") for s in STATS])
 
 
 def quantiles(stats: DataFrame, points: int = 200) -> DataFrame:
-    """(language, q_<statistic>): quantiles at 0, 1/points, ... 1, read from the sketches."""
+    """(language, n, q_<statistic>): quantiles at 0, 1/points, ... 1, read from the sketches."""
     at = F.array(*[F.lit(k / points) for k in range(points + 1)])
-    return sketches(stats).select("language", *[F.kll_sketch_get_quantile_double(f"k_{s}", at).alias(f"q_{s}") for s in STATS])
+    return sketches(stats).select("language", "n", *[F.kll_sketch_get_quantile_double(f"k_{s}", at).alias(f"q_{s}") for s in STATS])
 
 
 def _count_below(value: Column):
     return lambda n, x: n + F.when(x < value, 1).otherwise(0)
 
 
-def graded(stats: DataFrame, tail: float = 0.01, points: int = 200) -> DataFrame:
-    """Statistics with percentile, robust z-score and tail flag within their language.
+def graded(stats: DataFrame, tail: float = 0.01, points: int = 200, enough: int = 200) -> DataFrame:
+    """Statistics with percentile, robust z-score and tail flag within their language, and ``not_prose``.
 
     A percentile is the share of the language's quantiles below the value. A z-score is
     (x - median) / (interquartile range / 1.349); where that range is 0 it is taken as 1e-6, so
     a value that differs from a constant is far out.
     """
-    joined = stats.join(quantiles(stats, points), "language")
+    q = cut(quantiles(stats, points))
+    # (language, peers): whom its documents are compared with
+    peers = q.where(F.col("language") != ALL).select("language", F.when((F.col("language") == "und") | (F.col("n") < enough), F.lit(ALL)).otherwise(F.col("language")).alias("peers"))
+    joined = stats.join(peers.join(q.withColumnRenamed("language", "peers"), "peers").drop("peers", "n"), "language")
     out = []
     for s in STATS:
         q = F.col(f"q_{s}")
@@ -223,5 +238,7 @@ def graded(stats: DataFrame, tail: float = 0.01, points: int = 200) -> DataFrame
     return graded_.select("*", F.array_compact(F.array(*tails)).alias("tails"), not_prose().alias("not_prose"))
 
 
-def not_prose() -> Column:
-    return F.col("running_share") < 0.5
+def not_prose(far: float = 14.0) -> Column:
+    """Too few running sentences, or far out in signs or figures and in a lack of common words together."""
+    out = F.greatest("z_symbol_ratio", "z_digit_ratio") - F.col("z_common_share")
+    return (F.col("running_share") < 0.5) | ((out >= far) & (F.col("z_common_share") < 0))
