@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import language_column
 from shelfmark.llm.syntax import errors_of
-from shelfmark.llm.syntax.ruby import REGEX, without_heredocs
+from shelfmark.llm.syntax.ruby import HEREDOC, REGEX
 
 LANGUAGES = ("python", "javascript", "typescript", "java", "go", "c", "c#", "ruby")
 
@@ -147,10 +147,28 @@ def closing(text: str, at: int) -> int:
     return -1
 
 
+def blanked_heredocs(src: str) -> str:
+    """Ruby text whose heredocs are blanked in place: every other character stays where it is."""
+    out, wait = [], []
+    for line in src.split("\n"):
+        if wait:
+            if line.strip() == wait[0]:
+                wait.pop(0)
+            out.append(" " * len(line))
+            continue
+        code = line.split("#", 1)[0] if '"' not in line and "'" not in line else line
+        wait = [m.group(2) for m in HEREDOC.finditer(code)]
+        out.append(HEREDOC.sub(lambda m: '""'.ljust(len(m.group())), line) if wait else line)
+    return "\n".join(out)
+
+
 class Source:
-    """A text with its strings and comments blanked."""
+    """A text with its strings and comments blanked; ``whole`` is the text that pairs are cut from."""
 
     def __init__(self, language: str, text: str):
+        self.whole = text
+        if language == "ruby" and "<<" in text:
+            text = blanked_heredocs(text)
         self.language, self.text = language, text
         self.comments: list[tuple[int, int]] = []
         self.strings: dict[int, int] = {}
@@ -396,7 +414,7 @@ class Source:
                 continue
             text = description(doc, not python)
             if is_real(text, name):
-                out.append((name, self.text.count("\n", 0, start) + 1, text, self.text[start : self.body_end(start, after)]))
+                out.append((name, self.text.count("\n", 0, start) + 1, text, self.whole[start : self.body_end(start, after)]))
         return out
 
 
@@ -407,8 +425,6 @@ def pairs_of(language: str, text: str) -> list[tuple[str, int, str, str]]:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     text = text.removeprefix("﻿")
-    if language == "ruby" and "<<" in text:
-        text = without_heredocs(text)
     found = Source(language, text).pairs()
     return found if found and not errors_of(language, text) else []
 

@@ -152,6 +152,12 @@ def test_ruby_bodies_end_with_their_end():
     assert got == [*RUBY_BODIES, "def last; 5; end"]
 
 
+def test_ruby_pairs_keep_their_heredocs():
+    body = "def page(name)\n    text = <<~EOS + tail(1)\n      end of it # if\n      def other\n    EOS\n    text.strip\n  end"
+    text = "class K\n  # Builds the whole page from what was read before.\n  " + body + "\n\n  # Counts every open connection of the old pool again.\n  def after; 1; end\nend\n"
+    assert [(p[0], p[3].strip()) for p in docpairs.pairs_of("ruby", text)] == [("page", body), ("after", "def after; 1; end")]
+
+
 def test_quality(spark):
     prose = "The reader opens the file and then looks for a line that says what it does. " * 4
     docs = [(1, prose, "en"), (2, "- pump\n- valve\n- tank 2.1\n" * 5, "EN-us"), (3, "a,b,c\n1,2,3\n4,5,6\n" * 4, None), (4, None, "en"), (5, "  ", "en"), (6, prose.lower().replace(".", ""), "xx"),
