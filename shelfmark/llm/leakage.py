@@ -1,17 +1,21 @@
 """Evaluation texts inside training documents (problem 8).
 
-Latent semantic retrieval. Passages of documents are windows over the maximal runs of words
-that occur in evaluation items at all: no shared run of an item can cross a word that no item
-has, so nothing is lost. Passages become TF-IDF vectors; a distributed randomised SVD (each
-task adds up its part of A'AQ, two power steps) gives a latent space, in which every passage
-meets every item window by cosine. Candidates are verified on the words: the longest common run
-decides a leak, the longest common subsequence and the item's answer tell paraphrases.
-
-Windows of items and of documents have ``run`` words and start at every word, so a shared run
-of ``run`` words is the same window on both sides: its cosine is 1, whatever the weights are.
-
-The items are a bounded query set: beyond ``max_items`` an error is raised. What reaches the
-driver or the tasks' closures is bounded by the items' vocabulary, never by the documents.
+Latent semantic retrieval. Passages are windows of ``run`` words that start at every word, of
+items and documents alike. They become TF-IDF vectors; a distributed randomised SVD (each task
+adds up its part of A'AQ, two power steps) gives a latent space. The items' windows are
+clustered there, and a passage meets the windows of its ``probes`` nearest clusters by cosine.
+Candidates are verified on the words.
+
+* :meth:`LeakSearch.leaks`: the two windows must be equal. A window that is equal to one of an
+  item has the same vector, so it lies in the cluster it is looked for, with cosine 1. No equal
+  window holds a word that no item has, so only runs of known words are searched.
+* :meth:`LeakSearch.matches`: paraphrases too. Windows run over the whole text; a word that no
+  item has points nowhere in the latent space and counts in the length of its window, so every
+  change lowers the cosine. The longest common run, the longest common subsequence and the
+  item's answer are looked for in the words around the best window.
+
+The items are a bounded query set: beyond ``max_windows`` windows an error is raised. What
+reaches the driver or the tasks' closures is bounded by them, never by the documents.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,149 +48,182 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text)
 
 
+def windows_of(words: np.ndarray, size: int) -> np.ndarray:
+    """All windows of a run of words, one row each."""
+    if len(words) < size:
+        return np.zeros((0, size), dtype=np.int64)
+    return np.lib.stride_tricks.sliding_window_view(words, size)
+
+
 class ItemIndex:
-    """The items' words, windows and runs; small enough for a closure."""
+    """The items' words and windows; small enough for a closure."""
 
     def __init__(self, items: list[tuple[int, str]], run: int = 13):
         self.run = run
         self.words: dict[str, int] = {}
         self.ids = [i for i, _ in items]
-        self.texts = [[self.words.setdefault(w, len(self.words)) for w in words_of(t)] for _, t in items]
+        self.texts = [np.array([self.words.setdefault(w, len(self.words)) for w in words_of(t)], dtype=np.int64) for _, t in items]
         self.answers = []
         for _, t in items:
             m = ANSWER.search(t)
             self.answers.append([self.words[w] for w in words_of(m.group(1))] if m else [])
-        self.windows, self.owner = [], []
-        for k, t in enumerate(self.texts):
-            for s in range(len(t) - run + 1):
-                self.windows.append(t[s : s + run])
-                self.owner.append(k)
-        self.owner = np.array(self.owner, dtype=np.int64)
+        parts = [windows_of(t, run) for t in self.texts]
+        self.windows = np.concatenate([*parts, np.zeros((0, run), dtype=np.int64)])
+        self.owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+
+    def known(self, text: str) -> np.ndarray:
+        """Numbers of a text's words; -1 for those that no item has."""
+        get = self.words.get
+        return np.array([get(w, -1) for w in words_of(text)], dtype=np.int64)
 
 
 def passages(documents: DataFrame, index: ItemIndex) -> DataFrame:
     """(doc_id, words): maximal runs of at least ``run`` words that all occur in items."""
-    vocabulary, run = index.words, index.run
+    run = index.run
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, runs = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text is None:
-                    continue
-                ids = [vocabulary.get(w, -1) for w in words_of(text)]
-                start = 0
-                for k, w in enumerate(ids):
-                    if w < 0:
-                        if k - start >= run:
-                            docs.append(i)
-                            runs.append(ids[start:k])
-                        start = k + 1
-                if len(ids) - start >= run:
+                ids = index.known(text)
+                ends = np.concatenate(([-1], np.flatnonzero(ids < 0), [len(ids)]))
+                for k in np.flatnonzero(np.diff(ends) > run):
                     docs.append(i)
-                    runs.append(ids[start:])
+                    runs.append(ids[ends[k] + 1 : ends[k + 1]])
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], names=["doc_id", "words"])
 
     return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(split, "doc_id long, words array<int>")
 
 
-def windows_of(words: list[int], size: int) -> list[list[int]]:
-    return [words[s : s + size] for s in range(len(words) - size + 1)]
+def _project(words: np.ndarray, basis: np.ndarray, size: int) -> np.ndarray:
+    """Rows of A @ Q for all windows of a run of words: differences of running sums of weighted rows of Q."""
+    sums = np.concatenate((np.zeros((1, basis.shape[1])), np.cumsum(basis[words], axis=0)))
+    return sums[size:] - sums[:-size]
 
 
-def _project(windows: list[list[int]], weight: np.ndarray, basis: np.ndarray, at_once: int = 1000) -> np.ndarray:
-    """Rows of A @ basis for windows as TF-IDF rows; a bounded number at a time."""
-    if len(windows) > at_once:
-        return np.concatenate([_project(windows[k : k + at_once], weight, basis) for k in range(0, len(windows), at_once)])
-    flat = np.array([w for x in windows for w in x], dtype=np.int64)
-    starts = np.cumsum([0, *map(len, windows[:-1])])
-    rows = np.add.reduceat(basis[flat] * weight[flat][:, None], starts, axis=0)
-    return rows
+def _back(rows: np.ndarray, size: int) -> np.ndarray:
+    """For each word of a run the sum of the rows of the windows that hold it."""
+    n = len(rows) + size - 1
+    sums = np.concatenate((np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)))
+    at = np.arange(n)
+    return sums[np.minimum(at + 1, len(rows))] - sums[np.maximum(at - size + 1, 0)]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _power(runs: DataFrame, weight: np.ndarray, basis: np.ndarray, size: int, buckets: int = 16) -> np.ndarray:
-    """A'A @ basis over all windows; parts are added up in ``buckets`` groups before the driver."""
+def _power(runs: DataFrame, weight: np.ndarray, basis: np.ndarray, size: int, block: int = 64, ways: int = 64) -> np.ndarray:
+    """A'A @ Q over all windows of the documents.
+
+    Each task adds up its own windows; the sums are added by blocks of words, and in two steps,
+    so that no task holds more than the blocks of a ``ways``-th of all tasks.
+    """
     v, k = basis.shape
+    weighted = basis * weight[:, None]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros((v, k)), 0
+        total, seen = np.zeros((v, k)), False
         for batch in batches:
-            todo = [w for words in batch.column(0).to_pylist() for w in windows_of(words, size)]
-            for at in range(0, len(todo), 2000):
-                some = todo[at : at + 2000]
-                rows = _project(some, weight, basis)
-                flat = np.array([w for x in some for w in x], dtype=np.int64)
-                of = np.repeat(np.arange(len(some)), [len(x) for x in some])
-                order = np.argsort(flat, kind="stable")
-                found, first = np.unique(flat[order], return_index=True)
-                total[found] += np.add.reduceat(rows[of[order]], first, axis=0) * weight[found][:, None]
-                seen += len(some)
+            lists = batch.column(0)
+            for r in range(len(lists)):
+                words = lists[r].values.to_numpy()
+                np.add.at(total, words, _back(_project(words, weighted, size), size))
+                seen = True
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([int(total.view(np.int64).sum() % buckets)], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["b", "m"])
+            way = TaskContext.get().partitionId() % ways
+            blocks = list(range(0, v, block))
+            cols = [pa.array([b // block for b in blocks], pa.int32()), pa.array([way] * len(blocks), pa.int32()), pa.array([total[b : b + block].tobytes() for b in blocks], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["b", "way", "m"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(m) for m in pdf["m"])
-        return pd.DataFrame({"m": [total.tobytes()]})
+        return pd.DataFrame({"b": pdf["b"].iloc[:1], "way": pdf["way"].iloc[:1], "m": [sum(np.frombuffer(m) for m in pdf["m"]).tobytes()]})
 
-    parts = runs.select("words").mapInArrow(part, "b long, m binary").groupBy("b").applyInPandas(add, "m binary").collect()
-    return sum((np.frombuffer(r["m"]).reshape(v, k) for r in parts), np.zeros((v, k)))
+    schema = "b int, way int, m binary"
+    parts = runs.select("words").mapInArrow(part, schema).groupBy("b", "way").applyInPandas(add, schema).groupBy("b").applyInPandas(add, schema).collect()
+    out = np.zeros((v, k))
+    for r in parts:
+        out[r["b"] * block : (r["b"] + 1) * block] += np.frombuffer(r["m"]).reshape(-1, k)
+    return out * weight[:, None]
 
 
 def latent_space(runs: DataFrame, index: ItemIndex, rank: int, steps: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """IDF weights and an orthonormal latent basis (vocabulary x rank) by randomised SVD."""
     v = len(index.words)
-    if not index.windows:
+    if not len(index.windows):
         return np.ones(v), np.zeros((v, 1))
     counted = runs.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("df")).collect()
     df = np.zeros(v)
     for r in counted:
         df[r["w"]] = r["df"]
     for t in index.texts:
-        df[list(set(t))] += 1
+        df[np.unique(t)] += 1
     weight = np.log1p(df.max() / np.maximum(df, 1)) + 0.1
     rank = min(rank, v)
     q = np.linalg.qr(np.random.RandomState(11).standard_normal((v, rank)))[0]
-    # the items' own windows belong to the collection, so words of few documents have a direction
-    own = index.windows
     for _ in range(steps):
         y = _power(runs, weight, q, index.run)
-        if own:
-            back = np.zeros_like(y)
-            for at in range(0, len(own), 1000):
-                some = own[at : at + 1000]
-                rows = _project(some, weight, q)
-                for k in range(index.run):
-                    np.add.at(back, np.array([x[k] for x in some]), rows)
-            y += back * weight[:, None]
-        q = np.linalg.qr(y)[0]
+        # the items' own windows belong to the collection, so words of few documents have a direction
+        back = np.zeros_like(y)
+        for t in index.texts:
+            if len(t) >= index.run:
+                np.add.at(back, t, _back(_project(t, q * weight[:, None], index.run), index.run))
+        q = np.linalg.qr(y + back * weight[:, None])[0]
     return weight, q
 
 
-def longest_run(a: list[int], b: list[int]) -> int:
+class Clusters:
+    """The items' windows by direction: spherical k-means over all of them, fitted on at most ``sample``."""
+
+    def __init__(self, vectors: np.ndarray, probes: int = 4, sample: int = 20_000, rounds: int = 8):
+        self.vectors, self.probes = vectors, probes
+        n = len(vectors)
+        r = np.random.RandomState(5)
+        some = vectors if n <= sample else vectors[r.choice(n, sample, replace=False)]
+        count = max(1, int(len(some) ** 0.5))
+        c = some[r.choice(len(some), count, replace=False)] if n else vectors
+        for _ in range(rounds if n else 0):
+            own = (some @ c.T).argmax(axis=1)
+            sums = np.zeros_like(c)
+            np.add.at(sums, own, some)
+            c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), c).astype(np.float32)
+        self.centres = c
+        own = np.concatenate([(vectors[k : k + 8192] @ c.T).argmax(axis=1) for k in range(0, n, 8192)]) if n else np.zeros(0, dtype=int)
+        order = np.argsort(own, kind="stable")
+        self.members = np.split(order, np.searchsorted(own[order], np.arange(1, len(c))))
+
+    def near(self, rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, window, cosine) of the pairs of at least ``least`` in the clusters probed."""
+        k = min(self.probes, len(self.centres))
+        probed = np.argpartition(-(rows @ self.centres.T), k - 1, axis=1)[:, :k] if k else np.zeros((len(rows), 0), dtype=int)
+        flat = probed.ravel()
+        by = np.argsort(flat, kind="stable")
+        edges = np.searchsorted(flat[by], np.arange(len(self.centres) + 1))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for c in range(len(self.centres)):
+            own = by[edges[c] : edges[c + 1]] // k if k else by
+            if len(own) and len(self.members[c]):
+                cosines = rows[own] @ self.vectors[self.members[c]].T
+                x, y = np.nonzero(cosines >= least)
+                if len(x):
+                    out.append((own[x], self.members[c][y], cosines[x, y]))
+        none = np.zeros(0, dtype=int)
+        return tuple(np.concatenate(p) for p in zip(*out)) if out else (none, none, none.astype(np.float32))
+
+
+def longest_run(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest run of words that both have."""
-    best, row = 0, {}
-    where: dict[int, list[int]] = {}
-    for j, w in enumerate(b):
-        where.setdefault(w, []).append(j)
+    best, row = 0, np.zeros(len(b) + 1, dtype=np.int64)
     for w in a:
-        now = {}
-        for j in where.get(w, ()):
-            now[j] = n = row.get(j - 1, 0) + 1
-            if n > best:
-                best = n
-        row = now
+        row[1:] = np.where(b == w, row[:-1] + 1, 0)
+        best = max(best, int(row.max()))
     return best
 
 
-def longest_subsequence(a: list[int], b: list[int]) -> int:
+def longest_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     row = np.zeros(len(b) + 1, dtype=np.int64)
-    bb = np.array(b)
     for w in a:
-        step = np.where(bb == w, row[:-1] + 1, 0)
+        step = np.where(b == w, row[:-1] + 1, 0)
         row[1:] = np.maximum.accumulate(np.maximum(step, row[1:]))
     return int(row[-1])
 
@@ -198,68 +236,99 @@ class LeakSearch:
     an empty result.
     """
 
-    def __init__(self, documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 192, cosine: float = 0.8, max_items: int = 100_000):
+    def __init__(self, documents: DataFrame, items: DataFrame, run: int = 13, rank: int = 192, cosine: float = 0.8, probes: int = 4, max_windows: int = 500_000):
         self.run, self.cosine = run, cosine
-        rows = items.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id").limit(max_items + 1).collect()
-        if len(rows) > max_items:
-            raise ValueError(f"more than {max_items} items: search them in parts")
+        self.documents = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+        rows = items.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id").limit(max_windows + 1).collect()
         self.index = ItemIndex([(r["item_id"], r["text"]) for r in rows], run)
-        self.runs = cut(passages(documents, self.index))
-        self.weight, self.basis = latent_space(self.runs, self.index, rank)
+        if max(len(rows), len(self.index.windows)) > max_windows:
+            raise ValueError(f"more than {max_windows} windows of items: search the items in parts")
+        self.runs = cut(passages(self.documents, self.index))
+        self.weight, basis = latent_space(self.runs, self.index, rank)
+        self.basis = basis * self.weight[:, None]
+        parts = [_project(t, self.basis, run) for t in self.index.texts if len(t) >= run]
+        self.vectors = np.concatenate([*parts, np.zeros((0, self.basis.shape[1]))])
+        self.clusters = Clusters(_unit(self.vectors).astype(np.float32), probes)
 
-    def matches(self, paraphrases: bool = True) -> DataFrame:
+    def leaks(self) -> DataFrame:
+        """(doc_id, item_id) of pairs that share a run of at least ``run`` words."""
+        index, least, run, basis, clusters = self.index, self.cosine, self.run, self.basis, self.clusters
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                docs, lists = batch.column(0).to_numpy(), batch.column(1)
+                found: set[tuple[int, int]] = set()
+                at = 0
+                while at < len(docs):  # some thousand windows at once
+                    rows, windows, owners, n = [], [], [], 0
+                    while at < len(docs) and n < 8192:
+                        words = lists[at].values.to_numpy()
+                        rows.append(_project(words, basis, run))
+                        windows.append(windows_of(words, run))
+                        owners.append(np.full(len(rows[-1]), docs[at]))
+                        n += len(rows[-1])
+                        at += 1
+                    x, y, _ = clusters.near(_unit(np.concatenate(rows)).astype(np.float32), least)
+                    same = (np.concatenate(windows)[x] == index.windows[y]).all(axis=1)
+                    found.update(zip(np.concatenate(owners)[x[same]].tolist(), index.owner[y[same]].tolist()))
+                cols = [[d for d, _ in found], [index.ids[k] for _, k in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id"])
+
+        return self.runs.mapInArrow(search, "doc_id long, item_id long").distinct()
+
+    def matches(self, step: int = 2) -> DataFrame:
         """(doc_id, item_id, cosine, run_words, item_share, answer): candidates and what the words say.
 
-        One row for each pair that the cosine search proposes; ``run_words`` is the longest
-        common run, ``item_share`` the longest common subsequence as a share of the item,
-        ``answer`` whether the item's answer stands in the same passage. Without ``paraphrases``
-        only pairs with a common run of ``run`` words come out, and the subsequence, which such
-        pairs do not need, is left at 0.
+        One row for each pair that the cosine search proposes, from windows at every ``step``-th
+        word of the whole text. ``run_words`` is the longest common run, ``item_share`` the longest
+        common subsequence as a share of the item, ``answer`` whether the item's answer stands there
+        too; all three of the words around the best window, as many as the item has to both sides.
         """
-        index, least, run = self.index, self.cosine, self.run
-        grams = [frozenset(tuple(t[k : k + run]) for k in range(len(t) - run + 1)) for t in index.texts]
-        weight, basis = self.weight, self.basis.astype(np.float32)
-        target = _unit(_project(index.windows, weight, basis)).astype(np.float32).T if index.windows else np.zeros((basis.shape[1], 0), np.float32)
+        index, least, run, basis, clusters = self.index, self.cosine, self.run, self.basis, self.clusters
+        full = (self.weight[index.windows] ** 2).sum() if len(index.windows) else 1.0
+        kept = float((self.vectors**2).sum() / full)  # of a window's length in the latent space
+        strange = kept * float(self.weight.max() if len(self.weight) else 1.0) ** 2
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            padded = np.concatenate((basis, np.zeros((1, basis.shape[1]))))
             for batch in batches:
-                docs, runs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                todo, of = [], []
-                for k, words in enumerate(runs):
-                    for w in windows_of(words, run):
-                        todo.append(w)
-                        of.append(k)
-                best: dict[tuple[int, int], float] = {}
-                for at in range(0, len(todo), 512):
-                    rows = _unit(_project(todo[at : at + 512], weight, basis)).astype(np.float32)
-                    near = rows @ target
-                    x, y = np.nonzero(near >= least)
-                    if len(x):
-                        pairs, where = np.unique(np.stack([np.array(of[at : at + 512])[x], index.owner[y]]), axis=1, return_inverse=True)
-                        top = np.zeros(pairs.shape[1], dtype=np.float32)
-                        np.maximum.at(top, where.ravel(), near[x, y])
-                        for (k, item), c in zip(pairs.T.tolist(), top.tolist()):
-                            best[k, item] = max(best.get((k, item), 0.0), c)
-                out: dict[tuple[int, int], list] = {}
-                for (k, item), c in best.items():
-                    text, words = index.texts[item], runs[k]
-                    if not paraphrases and grams[item].isdisjoint(tuple(words[s : s + run]) for s in range(len(words) - run + 1)):
+                texts = [index.known(t) for t in batch.column(1).to_pylist()]
+                docs = batch.column(0).to_pylist()
+                best: dict[tuple[int, int], tuple[float, int]] = {}
+                at = 0
+                while at < len(docs):
+                    rows, of, n = [], [], 0
+                    while at < len(docs) and n < 8192:
+                        words = texts[at]
+                        if len(words) >= run:
+                            start = np.arange(0, len(words) - run + 1, step)
+                            unknown = np.concatenate(([0], np.cumsum(words < 0)))
+                            unknown = (unknown[run:] - unknown[:-run])[start]
+                            some = unknown <= run // 2
+                            if some.any():
+                                own = _project(words, padded, run)[start[some]]
+                                size = np.sqrt((own**2).sum(axis=1) + strange * unknown[some])
+                                rows.append(own / np.maximum(size, 1e-12)[:, None])
+                                of += [(at, s) for s in start[some].tolist()]
+                                n += len(own)
+                        at += 1
+                    if not rows:
                         continue
-                    answer = index.answers[item]
-                    n = len(answer)
-                    has = bool(n) and any(words[s : s + n] == answer for s in range(len(words) - n + 1))
-                    most = longest_run(words, text)
-                    share = longest_subsequence(words, text) / len(text) if paraphrases else 0.0
-                    old = out.get((docs[k], index.ids[item]), [0.0, 0, 0.0, False])
-                    out[docs[k], index.ids[item]] = [max(old[0], c), max(old[1], most), max(old[2], share), old[3] or has]
-                keys = list(out)
-                cols = [[a for a, _ in keys], [b for _, b in keys], *[[out[x][c] for x in keys] for c in range(4)]]
+                    x, y, cosines = clusters.near(np.concatenate(rows).astype(np.float32), least)
+                    for r, k, c in zip(x.tolist(), index.owner[y].tolist(), cosines.tolist()):
+                        d, s = of[r]
+                        if c > best.get((d, k), (0.0, 0))[0]:
+                            best[d, k] = (c, s)
+                out = []
+                for (d, k), (c, s) in best.items():
+                    text, answer = index.texts[k], index.answers[k]
+                    near = texts[d][max(0, s - len(text)) : s + run + len(text)]
+                    m = len(answer)
+                    has = bool(m) and bool((windows_of(near, m) == np.array(answer)).all(axis=1).any())
+                    out.append((docs[d], index.ids[k], c, longest_run(near, text), longest_subsequence(near, text) / len(text), has))
+                cols = list(zip(*out)) or [[]] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "item_id", "cosine", "run_words", "item_share", "answer"])
 
-        found = self.runs.mapInArrow(search, "doc_id long, item_id long, cosine double, run_words long, item_share double, answer boolean")
+        found = self.documents.mapInArrow(search, "doc_id long, item_id long, cosine double, run_words long, item_share double, answer boolean")
         return found.groupBy("doc_id", "item_id").agg(F.round(F.max("cosine"), 4).alias("cosine"), F.max("run_words").alias("run_words"), F.round(F.max("item_share"), 6).alias("item_share"), F.bool_or("answer").alias("answer"))
-
-    def leaks(self) -> DataFrame:
-        """(doc_id, item_id) of pairs that share a run of at least ``run`` words."""
-        return self.matches(paraphrases=False).where(F.col("run_words") >= self.run).select("doc_id", "item_id")

@@ -134,6 +134,40 @@ def test_leaks_of_a_frequent_item_between_rare_words(spark):
     assert {tuple(x) for x in LeakSearch(d, e).leaks().collect()} == {(k, 0) for k, _ in docs}
 
 
+def test_paraphrases_with_new_words_are_found(spark):
+    r = random.Random(9)
+    items = [(k, " ".join(r.choice(WORDS) + r.choice("abcdefgh") for _ in range(40))) for k in range(12)]
+    docs, want = [(k, " ".join(r.choice(WORDS) + r.choice("abcdefgh") for _ in range(150))) for k in range(60)], set()
+    for k, (i, t) in enumerate(items):
+        w = t.split()
+        for n in range(4):  # a word that no item has in every eight, so no run of 13 is left
+            copy = [f"new{k}x{j}" if j % 8 == n else x for j, x in enumerate(w)]
+            docs.append((1000 + 10 * k + n, " ".join(["zz"] * 30 + copy + ["yy"] * 20)))
+            want.add((docs[-1][0], i))
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    search = LeakSearch(d, e)
+    got = {(x.doc_id, x.item_id): x for x in search.matches().collect()}
+    assert search.leaks().count() == 0
+    assert len(want & set(got)) >= 0.9 * len(want)
+    assert all(got[p].item_share >= 0.8 for p in want & set(got)) and not {p for p in set(got) - want if got[p].item_share > 0.5}
+
+
+def test_clusters_against_brute_force():
+    import numpy as np
+
+    from shelfmark.llm.leakage import Clusters, _unit
+
+    r = np.random.RandomState(2)
+    v = _unit(r.standard_normal((600, 24)) + 2 * np.repeat(r.standard_normal((60, 24)), 10, axis=0)).astype(np.float32)
+    q = _unit(v[r.choice(600, 300)] + 0.08 * r.standard_normal((300, 24))).astype(np.float32)
+    x, y, _ = Clusters(v).near(q, 0.8)
+    truth = set(zip(*map(np.ndarray.tolist, np.nonzero(q @ v.T >= 0.8))))
+    found = set(zip(x.tolist(), y.tolist()))
+    assert found <= truth and len(found) >= 0.9 * len(truth)
+    x, y, c = Clusters(v).near(v, 0.999)
+    assert set(range(600)) <= {a for a, b in zip(x.tolist(), y.tolist()) if a == b}
+
+
 RUBY_BODIES = [
     "def a(x)\n  work(x)\nrescue IOError => e\n  retry if e.now?\nelse\n  3\nensure\n  close\nend",
     "def b; 1; end",
