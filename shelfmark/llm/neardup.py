@@ -4,8 +4,8 @@ Each content gets a MinHash fingerprint of its word shingles: ``blocks * rows``
 Two contents of similarity J differ in about (1 - J) of the slots, which is the Hamming
 distance of their fingerprints. The fingerprint is split into ``blocks`` blocks of ``rows``
 slots; a pair that differs in fewer slots than there are blocks must agree on one block
-(pigeonhole), and beyond that bound a pair of J >= 0.7 shares none of 40 blocks of 5 with a
-probability of at most 7e-4 (at exactly 0.7; 1e-4 at 0.74, 1e-6 at 0.8). Blocks are joined by key,
+(pigeonhole), and beyond that bound a pair of J >= 0.7 shares none of 50 blocks of 5 with a
+probability of at most 1e-4 (at exactly 0.7; 1e-6 at 0.75, 2e-9 at 0.8). Blocks are joined by key,
 the Hamming distance of a 128-bit sketch of the fingerprint is tested inside the join, and
 what remains is verified on the shingle sets themselves.
 
@@ -165,7 +165,7 @@ class NearDuplicates:
     * :meth:`groups`  - (id, root, n_links): connected components of the links
     """
 
-    def __init__(self, df: DataFrame, id: str, text: str, shingle: int = 5, threshold: float = 0.8, min_words: int = 40, blocks: int = 40, rows: int = 5, max_bits: int | None = None):
+    def __init__(self, df: DataFrame, id: str, text: str, shingle: int = 5, threshold: float = 0.8, min_words: int = 40, blocks: int = 50, rows: int = 5, max_bits: int | None = None):
         self.shingle, self.threshold = shingle, threshold
         self.source = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
         # five standard deviations beyond the distance expected at the threshold
