@@ -24,7 +24,7 @@ ANALYZERS = {
     "Python": "Python", "Jupyter Notebook": "Jupyter Notebook", "Java": "Java", "JavaScript": "JavaScript", "C": "C", "C++": "C++", "C#": "C#",
     "PHP": "PHP", "XML": "XML", "HTML": "HTML", "JSON": "JSON", "YAML": "YAML", "Markdown": "Text", "Text": "Text",
 }
-ONCE = ("XML", "HTML", "JSON", "YAML", "Text")
+ONCE = ["XML", "HTML", "JSON", "YAML", "Text"]
 # The stop lists that an analyzer joins.
 STOP_LISTS = {
     "Jupyter Notebook": ("Jupyter Notebook", "Python", "Text"), "HTML": ("HTML", "Text"), "JSON": ("default", "Text"), "YAML": ("default",),
@@ -32,6 +32,20 @@ STOP_LISTS = {
 MIN_LENGTH = 2
 
 
+def register(language: str, analyzer: str | None = None, lists: tuple[str, ...] | None = None, once: bool = False) -> None:
+    """An analyzer of one's own for a language, from now on in this session's plans.
+
+    ``lists`` are the stop lists that it joins (the one of its name by default); with ``once`` a
+    file's words count once.
+    """
+    name = analyzer or language
+    ANALYZERS[language] = name
+    if lists is not None:
+        STOP_LISTS[name] = tuple(lists)
+    if once and name not in ONCE:
+        ONCE.append(name)
+
+
 def normal_path(path: str = "path") -> Column:
     """The path with a leading slash."""
     p = F.col(path)

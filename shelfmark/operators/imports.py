@@ -9,7 +9,8 @@ from __future__ import annotations
 import ast
 import posixpath
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -66,37 +67,51 @@ def candidates(module: str, level: int, path: str) -> list[str]:
     return out
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for repo, path, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if text is not None:
-                rows.extend((repo, path, k, *x, candidates(x[0], x[1], path)) for k, x in enumerate(names_in(text)))
-        cols = list(zip(*rows)) or [[]] * 7
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["repo_id", "path", "pos", "module", "level", "name", "candidates"])
+# Language -> (import statements of a text, files that one may mean); see :func:`register`.
+Extract = Callable[[str], list[tuple[str, int, str]]]
+Candidates = Callable[[str, int, str], list[str]]
+ANALYZERS: dict[str, tuple[Extract, Candidates]] = {"Python": (names_in, candidates)}
 
 
-def python_files(files: DataFrame) -> DataFrame:
-    """(repo_id, path, content) of Python files; of repeated paths the last row counts.
+def register(language: str, extract: Extract, find: Candidates) -> None:
+    """An import analysis of one's own: ``extract`` as :func:`names_in`, ``find`` as :func:`candidates`."""
+    ANALYZERS[language] = (extract, find)
+
+
+def _extractor(extract: Extract, find: Candidates):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for repo, path, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if text is not None:
+                    rows.extend((repo, path, k, *x, find(x[0], x[1], path)) for k, x in enumerate(extract(text)))
+            cols = list(zip(*rows)) or [[]] * 7
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["repo_id", "path", "pos", "module", "level", "name", "candidates"])
+
+    return run
+
+
+def source_files(files: DataFrame, language: str = "Python") -> DataFrame:
+    """(repo_id, path, content) of a language's files; of repeated paths the last row counts.
 
     Which row that is comes from the keys alone; contents are only joined to it.
     """
-    f = files.where("language = 'Python'").withColumn("path", normal_path())
+    f = files.where(F.col("language") == language).withColumn("path", normal_path())
     if "idx" not in f.columns:
         return f.groupBy("repo_id", "path").agg(F.max_by("content", F.coalesce("content", F.lit(""))).alias("content"))
     last = f.groupBy("repo_id", "path").agg(F.max("idx").alias("idx"))
     return f.join(last, ["repo_id", "path", "idx"], "left_semi").select("repo_id", "path", "content")
 
 
-def extracted(files: DataFrame) -> DataFrame:
-    """(repo_id, path, pos, module, level, name, candidates) of Python files."""
-    return python_files(files).mapInArrow(_extract, IMPORTS + ", candidates array<string>")
+def extracted(files: DataFrame, language: str = "Python") -> DataFrame:
+    """(repo_id, path, pos, module, level, name, candidates) of a language's files."""
+    return source_files(files, language).mapInArrow(_extractor(*ANALYZERS[language]), IMPORTS + ", candidates array<string>")
 
 
-def import_rows(files: DataFrame) -> DataFrame:
+def import_rows(files: DataFrame, language: str = "Python") -> DataFrame:
     """imports(repo_id, seq, name, module, from_file, to_file): names whose module is a file here."""
-    return resolved(extracted(files), files)
+    return resolved(extracted(files, language), files, language)
 
 
 def with_candidates(facts: DataFrame) -> DataFrame:
@@ -113,10 +128,10 @@ def with_candidates(facts: DataFrame) -> DataFrame:
     return facts.withColumn("candidates", files)
 
 
-def resolved(found: DataFrame, files: DataFrame) -> DataFrame:
+def resolved(found: DataFrame, files: DataFrame, language: str = "Python") -> DataFrame:
     """Import rows of facts (repo_id, path, pos, module, level, name, candidates) whose module is a file here."""
     tried = found.select("repo_id", F.col("path").alias("to_file"), "pos", "module", "level", "name", F.posexplode("candidates").alias("prio", "path"))
-    known = files.where("language = 'Python'").select("repo_id", normal_path().alias("path")).distinct()
+    known = files.where(F.col("language") == language).select("repo_id", normal_path().alias("path")).distinct()
     hit = tried.join(known, ["repo_id", "path"]).groupBy("repo_id", "to_file", "pos", "module", "name").agg(F.min_by("path", "prio").alias("from_file"))
     seq = F.row_number().over(Window.partitionBy("repo_id").orderBy("to_file", "pos")).cast("long")
     return hit.select("repo_id", seq.alias("seq"), "name", "module", "from_file", "to_file")
@@ -145,10 +160,10 @@ def merged(imports: DataFrame) -> DataFrame:
     return imports.groupBy(*key).agg(F.max("seq").alias("seq"), F.max_by("module", "seq").alias("module")).select("repo_id", "seq", "name", "module", "from_file", "to_file")
 
 
-def propagated(imports: DataFrame, files: DataFrame, rounds: int = 3) -> DataFrame:
+def propagated(imports: DataFrame, files: DataFrame, rounds: int = 3, language: str = "Python") -> DataFrame:
     """imports and what three rounds of looking through add; a name must occur in its new file."""
     wanted = imports.select("repo_id", F.col("from_file").alias("path")).distinct()
-    held = cut(tokens(python_files(files).join(wanted, ["repo_id", "path"], "left_semi")))
+    held = cut(tokens(source_files(files, language).join(wanted, ["repo_id", "path"], "left_semi")))
     now = imports
     for _ in range(rounds):
         more = one_round(now).join(held, ["repo_id", "from_file"]).where(F.array_contains("words", F.col("name"))).drop("words")
@@ -158,13 +173,15 @@ def propagated(imports: DataFrame, files: DataFrame, rounds: int = 3) -> DataFra
     return now
 
 
-def edges_of(imports: DataFrame) -> DataFrame:
+def edges_of(imports: DataFrame, language: str = "Python") -> DataFrame:
     """edges(repo_id, from_file, to_file, weight, language): from the definition to the importer."""
-    return imports.select("repo_id", "from_file", "to_file").distinct().select("*", F.lit(1.0).alias("weight"), F.lit("Python").alias("language"))
+    return imports.select("repo_id", "from_file", "to_file").distinct().select("*", F.lit(1.0).alias("weight"), F.lit(language).alias("language"))
 
 
 def import_edges(files: DataFrame) -> DataFrame:
-    return edges_of(propagated(import_rows(files), files))
+    """Edges of every language that has an import analysis."""
+    parts = [edges_of(propagated(cut(import_rows(files, x)), files, language=x), x) for x in ANALYZERS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def backward(edges: DataFrame, decay: float = 0.25) -> DataFrame:

@@ -47,6 +47,24 @@ def test_import_corner_cases(spark):
     assert ("c", "/low.py", "/t.py") in e  # from the lines that hold imports
 
 
+def test_registered_analyzers(spark, monkeypatch):
+    import re
+
+    from shelfmark.functions import text as X
+
+    monkeypatch.setattr(imports, "ANALYZERS", dict(imports.ANALYZERS))
+    for name in ("ANALYZERS", "STOP_LISTS"):
+        monkeypatch.setattr(X, name, dict(getattr(X, name)))
+    monkeypatch.setattr(X, "ONCE", list(X.ONCE))
+    imports.register("Lua", lambda t: [(m, 0, m) for m in re.findall(r'require "(\w+)"', t)], lambda m, level, path: [f"/{m}.lua"])
+    rows = [("r", "/a.lua", "Lua", 'require "b"\nrequire "none"'), ("r", "/b.lua", "Lua", "x x x"), ("r", "/c.py", "Python", "import d"), ("r", "/d.py", "Python", "")]
+    got = {(r.from_file, r.to_file, r.language) for r in imports.import_edges(presorted(frame(spark, rows))).collect()}
+    assert got == {("/b.lua", "/a.lua", "Lua"), ("/d.py", "/c.py", "Python")}
+    X.register("Lua", lists=("Text",), once=True)
+    words = bm25.raw_words(presorted(frame(spark, rows))).where("analyzer = 'Lua' and word = 'x'").collect()
+    assert [w.n for w in words] == [1]
+
+
 def test_metric_goldens(spark):
     o = spark.createDataFrame([("r", 0, "/s"), ("r", 1, "/i"), ("r", 2, "/m"), ("one", 0, "/x"), ("none", 0, "/a"), ("none", 1, "/b")], "repo_id string, pos int, path string")
     e = spark.createDataFrame([("r", "/i", "/m"), ("r", "/s", "/i"), ("r", "/s", "/m")], "repo_id string, from_file string, to_file string")
