@@ -276,15 +276,15 @@ class LeakSearch:
 
         return self.runs.mapInArrow(search, "doc_id long, item_id long").distinct()
 
-    def matches(self, step: int = 2) -> DataFrame:
+    def matches(self, step: int = 3, cosine: float = 0.7) -> DataFrame:
         """(doc_id, item_id, cosine, run_words, item_share, answer): candidates and what the words say.
 
         One row for each pair that the cosine search proposes, from windows at every ``step``-th
-        word of the whole text. ``run_words`` is the longest common run, ``item_share`` the longest
+        word of the whole text; 0.7 leaves room for two new words in thirteen. ``run_words`` is the longest common run, ``item_share`` the longest
         common subsequence as a share of the item, ``answer`` whether the item's answer stands there
         too; all three of the words around the best window, as many as the item has to both sides.
         """
-        index, least, run, basis, clusters = self.index, self.cosine, self.run, self.basis, self.clusters
+        index, least, run, basis, clusters = self.index, cosine, self.run, self.basis, self.clusters
         full = (self.weight[index.windows] ** 2).sum() if len(index.windows) else 1.0
         kept = float((self.vectors**2).sum() / full)  # of a window's length in the latent space
         strange = kept * float(self.weight.max() if len(self.weight) else 1.0) ** 2
