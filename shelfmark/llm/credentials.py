@@ -280,6 +280,23 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["value", "width", "offset", "key", "bit"])
 
 
+def hits(raw: bytes, bitmaps: dict[int, np.ndarray], chunk: int = 1 << 20) -> Iterator[tuple[int, int, int]]:
+    """(width, key, place) of the windows of some bytes that a bitmap holds, a bounded part at a time."""
+    for start in range(0, len(raw), chunk):
+        data = np.frombuffer(raw[start : start + chunk + WIDE - 1] + b"\0" * (2 * WIDE - 1), dtype=np.uint8)
+        keys = np.empty(len(data) // 8 * 8, dtype=np.uint64)
+        for k in range(8):
+            part = data[k : k + (len(data) - k) // 8 * 8].view(np.uint64)
+            keys[k::8][: len(part)] = part[: len(keys[k::8])]
+        keys = keys[: min(chunk, len(raw) - start)]
+        for width, bitmap in bitmaps.items():
+            x = keys if width == WIDE else keys & np.uint64(0xFFFFFFFF)
+            bit = bit_of(x)
+            for h in np.flatnonzero((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).tolist():
+                if raw[start + h] & 0xC0 != 0x80:
+                    yield width, int(x[h].view(np.int64)), start + h
+
+
 def _rescan(maps, longest: int):
     """Pieces of texts around each place whose bytes are an anchor, by the bitmaps.
 
@@ -293,23 +310,11 @@ def _rescan(maps, longest: int):
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode()
-                data = np.frombuffer(raw + b"\0" * 15, dtype=np.uint8)
-                keys = np.empty(len(data) // 8 * 8, dtype=np.uint64)
-                for k in range(8):
-                    part = data[k : k + (len(data) - k) // 8 * 8].view(np.uint64)
-                    keys[k::8][: len(part)] = part[: len(keys[k::8])]
-                keys = keys[: len(raw)]
-                for width, bitmap in bitmaps.items():
-                    x = keys if width == WIDE else keys & np.uint64(0xFFFFFFFF)
-                    bit = bit_of(x)
-                    hits = np.flatnonzero((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
-                    for h in hits.tolist():
-                        if raw[h] & 0xC0 == 0x80:
-                            continue
-                        at = h if len(raw) == len(text) else len(raw[:h].decode())
-                        a, b = max(0, at - longest), min(len(text), at + longest)
-                        # one character more to both sides, null where the text ends
-                        rows.append((i, width, int(x[h].view(np.int64)), at - a, a, text.count("\n", 0, a), text[a:b], text[a - 1 : a] if a else "", text[b : b + 1]))
+                for width, key, h in hits(raw, bitmaps):
+                    at = h if len(raw) == len(text) else len(raw[:h].decode())
+                    a, b = max(0, at - longest), min(len(text), at + longest)
+                    # one character more to both sides, none where the text ends
+                    rows.append((i, width, key, at - a, a, text.count("\n", 0, a), text[a:b], text[a - 1 : a] if a else "", text[b : b + 1]))
             cols = list(zip(*rows)) or [[]] * 9
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file_id", "width", "key", "inside", "start", "lines", "piece", "left", "right"])

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import let
 from shelfmark.llm.common import language_column
 from shelfmark.llm.docpairs import PARTS
 from shelfmark.runtime import cut
@@ -168,12 +169,6 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(repos, pa.string()), pa.array([p.rsplit("/", 1)[0] for p in paths], pa.string()), *cols], names=["file_id", "repo_id", "dir", *LABELS])
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once: expressions nested in each other would else
-    multiply, as the optimizer writes them out at each use."""
-    return F.transform(F.array(value), use)[0]
-
-
 def message(belief: Column, ties: tuple[float, ...]) -> Column:
     """What an array of log beliefs says to a neighbour: for each label the log of the sum over the
     own labels, those that agree weighted by their tie."""

@@ -41,6 +41,22 @@ def test_values_of_any_length_are_found_again(spark):
     assert {tuple(x) for x in Credentials(spark.createDataFrame(rows, FILES)).lines().collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 3)}
 
 
+def test_windows_of_long_texts():
+    import numpy as np
+
+    from shelfmark.llm.credentials import BITS, anchor, bit_of, hits
+
+    maps = {}
+    for v in ("qW7$xY9+zz", "aB3$"):
+        width, _, key = anchor(v)
+        bit = int(bit_of(np.array([key], dtype=np.int64).view(np.uint64))[0])
+        maps.setdefault(width, np.zeros(1 << BITS - 3, dtype=np.uint8))[bit >> 3] |= 1 << (bit & 7)
+    raw = (" é " + "x" * 90 + "qW7$xY9+zz" + "y" * 55 + "aB3$").encode()
+    want = {(anchor(v)[0], raw.index(v.encode()) + anchor(v)[1]) for v in ("qW7$xY9+zz", "aB3$")}
+    for chunk in (1 << 20, 64, 97, 7):
+        assert {(w, at) for w, _, at in hits(raw, maps, chunk)} == want
+
+
 def test_widely_shared_values_are_placeholders_but_forks_are_not(spark):
     token, live = "ghp_Xk29dLq0PzRt7WvYb3NcMf5HsJg8aTe1UiOp", "ghp_Qm47sVn2KxZt9RwLc6BdPf8JyHg3uEa5TiOr"
     rows = [(k, f"r{k}", "/conf.ini", "INI", f"# note {k}\nservice{k}_token = {token}\n", None) for k in range(60)]
